@@ -14,6 +14,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths are source/thousand/doc_id; a licence, other than a mere reservation of rights, that a document states is a notice for its directory."""
+    from .licenses import license_scan
+
+    path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string"))
+    return license_scan(table(spark, sf_dir, "documents"), path, F.col("text"), is_notice=F.col("license") != "Proprietary")
+
+
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import dedup_substrings
+
+    found = dedup_substrings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    plan = mix(table(spark, sf_dir, "documents"))
+    billionths = F.floor(F.col("position") * 1e9).alias("position_e9")
+    return plan.orderBy("position", "doc_id").select("doc_id", "size", "source_size", "target", "taken", billionths)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -22,6 +45,47 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import language_id
+
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits a document: an insertion in the middle, a deletion near the start, a replacement at three quarters."""
+    import public_tokenizers
+
+    from .token_counts import count_tokens
+
+    n = F.coalesce(F.char_length("text"), F.lit(0))
+    at = lambda share: F.floor(n * share).cast("int")
+    edit = lambda start, stop, put: F.struct(start.alias("start"), stop.alias("stop"), put.alias("put"))
+    edits = F.array(
+        edit(at(0.5), at(0.5), F.lit(" it's an inserted line\n")),
+        edit(F.lit(10), F.lit(25), F.lit("")),
+        edit(at(0.75), at(0.75) + 40, F.substring("text", 1, 30)),
+    )
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, edits)
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spans import document_fingerprints
+
+    return document_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_groups
 
@@ -38,3 +102,20 @@ def oracle_sql() -> dict[str, str]:
 
 
 SQL: dict[str, str] = {}
+
+SQL["op7_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+         CAST(list_inner_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE a.vec_id % 20 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
