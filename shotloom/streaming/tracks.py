@@ -85,3 +85,47 @@ def _frames_before(mark_ms: int, fps: float, start: int) -> int:
 def stream_counts(observations: DataFrame, width: str = "10 seconds", delay: str = "5 seconds") -> DataFrame:
     """Observations and distinct shots (approximate) in tumbling windows of event time; windows close with the watermark."""
     return observations.withWatermark("event_time", delay).groupBy(F.window("event_time", width)).agg(F.count("*").alias("n_obs"), F.approx_count_distinct("shot_id").alias("n_shots")).select("window.start", "window.end", "n_obs", "n_shots")
+
+
+class _Cuts:
+    """A stream's frames that wait for the watermark, and the open segment: (number, first, last, n, last value)."""
+
+    def __init__(self):
+        self.waiting: dict[int, float | None] = {}
+        self.open: tuple | None = None
+
+
+def stream_segments(frames: DataFrame, key: str, feature: str, threshold: float = 30.0, delay: str = "5 seconds", fps: float = 1.0, start: int = 0) -> DataFrame:
+    """A stream of frames (key, frame_idx, feature, event_time) -> segments as they end, append mode.
+
+    A segment is emitted with the first frame of the next one, once the watermark
+    has passed that frame. Frames without a value don't cut.
+    """
+
+    def update(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        cuts: _Cuts = pickle.loads(state.get[0]) if state.exists else _Cuts()
+        for pdf in batches:
+            for at, value in zip(pdf["frame_idx"], pdf[feature]):
+                cuts.waiting[int(at)] = None if pd.isna(value) else float(value)
+        mark = state.getCurrentWatermarkMs()
+        end = _frames_before(mark, fps, start) if mark > 0 else 0
+        out = []
+        for at in sorted(f for f in cuts.waiting if f < end):
+            value = cuts.waiting.pop(at)
+            if cuts.open is None:
+                cuts.open = (1, at, at, 1, value)
+                continue
+            number, first, last, n, before = cuts.open
+            if value is not None and before is not None and abs(value - before) > threshold:
+                out.append((number, first, last, n))
+                cuts.open = (number + 1, at, at, 1, value)
+            else:
+                cuts.open = (number, first, at, n + 1, value)
+        state.update((pickle.dumps(cuts),))
+        if cuts.waiting:
+            state.setTimeoutTimestamp(max(int((start + (min(cuts.waiting) + 1) / fps) * 1000), mark + 1))
+        yield pd.DataFrame([(group[0], *o) for o in out], columns=[key, "shot_number", "first_frame", "last_frame", "n"])
+
+    kind = dict(frames.dtypes)[key]
+    stream = frames.select(key, "frame_idx", feature, "event_time").withWatermark("event_time", delay)
+    return stream.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, shot_number int, first_frame int, last_frame int, n long", "cuts binary", "append", GroupStateTimeout.EventTimeTimeout)
