@@ -1,14 +1,15 @@
-"""Shared plumbing of the training-data operators: batch sizes, scratch tables, hashing."""
+"""Shared plumbing of the training-data operators: batch sizes, folds, hashing; scratch tables are the engine's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import discard, stored
+
+__all__ = ["discard", "fold", "mix64", "shuffle_parts", "stored", "tune"]
+
 #: Arrow batches handed to Python are bounded in rows and in bytes, so that a
 #: partition of very long texts never becomes one batch.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
@@ -27,37 +28,6 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. A local session without it gets its own."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
-    if found:
-        return found.rstrip("/")
-    if not sc.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="shotloom-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet below the shared folder and read again: lineage ends there, lost executors don't matter."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/shotloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def discard(df: DataFrame | None) -> None:
-    """Delete what stored() wrote, once nothing reads it any more."""
-    path = getattr(df, "_stored_at", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
-
-
 def fold(id_col, folds: int):
     """crc32 of the id as text modulo the number of folds; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds

@@ -16,8 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, shuffle_parts, stored, tune
-from .components import connected_components
+from ..operators.graph import connected_components
+from .common import stored, tune
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEED = 42

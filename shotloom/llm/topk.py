@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, stored, tune
+from .common import stored, tune
 
 BLOCK, BINS, CHUNK = 4096, 1024, 2048
 #: Quantised components saturate here, so that no inner product leaves 64 bits.
