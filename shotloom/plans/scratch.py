@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def appended(parts: Iterable[DataFrame], name: str) -> DataFrame | None:
+    """Parts written one after the other to one table and read as one scan; None without parts."""
+    path, first = None, None
+    for part in parts:
+        path = path or f"{shared_dir(part.sparkSession)}/shotloom/{name}-{uuid.uuid4().hex}"
+        first = part if first is None else first
+        part.write.mode("append").parquet(path)
+    if first is None:
+        return None
+    out = first.sparkSession.read.schema(first.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete what stored() wrote, once nothing reads it any more."""
     path = getattr(df, "_stored_at", None)
