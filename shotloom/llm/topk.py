@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import appended
 from .common import stored, tune
 
 BLOCK, BINS, CHUNK = 4096, 1024, 2048
@@ -70,17 +71,19 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, id_col: st
     kind = np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else np.int64
     asked = rows.where(is_query).groupBy("vec_id").agg(F.min("q").alias("q"))
     id_kind = rows.schema["vec_id"].dataType.simpleString()
-    done, after = None, None
-    while n:
-        # the next block of queries by id: bounded, so it may go to the driver
-        block = (asked if after is None else asked.where(F.col("vec_id") > after)).orderBy("vec_id").limit(BLOCK).toArrow()
-        if not block.num_rows:
-            break
-        ids = np.asarray(block.column("vec_id"))
-        after = ids[-1].item()
-        q = _matrix(block.column("q"), width)
-        part = _block(rows, ids, q, k, width, kind, float(longest or 0), id_kind)
-        done = part if done is None else done.unionByName(part)
+
+    def blocks():
+        after = None
+        while n:
+            # the next block of queries by id: bounded, so it may go to the driver
+            block = (asked if after is None else asked.where(F.col("vec_id") > after)).orderBy("vec_id").limit(BLOCK).toArrow()
+            if not block.num_rows:
+                break
+            ids = np.asarray(block.column("vec_id"))
+            after = ids[-1].item()
+            yield _block(rows, ids, _matrix(block.column("q"), width), k, width, kind, float(longest or 0), id_kind)
+
+    done = appended(blocks(), "best")
     if done is None:
         return spark.createDataFrame([], f"query_id {id_kind}, rank int, vec_id {id_kind}, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -91,7 +94,6 @@ def _block(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, width: int,
     reach = np.ceil(np.sqrt((q.astype(np.float64) ** 2).sum(1)) * longest * (1 + 1e-9)).astype(np.int64) + 1
     low, high = -reach, reach + 1  # the k-th score lies in [low, high)
     above = np.zeros(len(ids), np.int64)  # candidates that score high or more
-    spark = rows.sparkSession
     while ((high - low) > 1).any():
         step = np.maximum(1, -(-(high - low) // BINS))
 
