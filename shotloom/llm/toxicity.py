@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, tune
 
-BITS, ALPHA, BETA, L1, L2, EPOCHS = 20, 1.0, 1.0, 4.0, 0.01, 6
+BITS, ALPHA, BETA, L1, L2, EPOCHS = 20, 2.0, 1.0, 4.0, 0.001, 8
 #: At most so many labelled rows of each class are fitted.
 SAMPLE = 4000
 #: A prediction is 1 from this score.
