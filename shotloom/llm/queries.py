@@ -119,3 +119,107 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+
+def _position(place: str, share: str) -> str:
+    """The SQL of mixing.training_time() for the production schedules, by the weight's place."""
+    from .mixing import SCHEDULES
+
+    out = []
+    for i, s in enumerate(SCHEDULES):
+        area = [0.0]
+        for (t0, w0), (t1, w1) in zip(s, s[1:]):
+            area.append(area[-1] + (w0 + w1) / 2 * (t1 - t0))
+        parts = []
+        for k, ((t0, w0), (t1, w1)) in enumerate(zip(s, s[1:])):
+            d = f"greatest(0.0::DOUBLE, {share} * {area[-1]!r}::DOUBLE - {area[k]!r}::DOUBLE)"
+            root = f"sqrt(greatest(0.0::DOUBLE, {w0 * w0!r}::DOUBLE + {2 * (w1 - w0) / (t1 - t0)!r}::DOUBLE * {d}))"
+            parts.append(f"WHEN {share} * {area[-1]!r}::DOUBLE <= {area[k + 1]!r}::DOUBLE OR {k == len(s) - 2} THEN least({t1!r}::DOUBLE, {t0!r}::DOUBLE + 2.0::DOUBLE * {d} / ({w0!r}::DOUBLE + {root}))")
+        out.append(f"WHEN {place} % {len(SCHEDULES)} = {i} THEN CASE {' '.join(parts)} END")
+    return f"CASE {' '.join(out)} END"
+
+
+SQL["op3_mixing"] = rf"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, coalesce(md5(CAST(doc_id AS VARCHAR)), '') AS o FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+), r AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place, CAST(source_size AS DOUBLE) * 3.0::DOUBLE AS most FROM s
+), w AS (
+  SELECT *, CASE place % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM r
+), g AS (
+  SELECT *, most / weight AS ratio FROM w
+), u AS (
+  SELECT *, coalesce(sum(most) OVER (ORDER BY ratio, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+    sum(weight) OVER (ORDER BY ratio, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open, sum(CAST(source_size AS DOUBLE)) OVER () AS total FROM g
+), v AS (SELECT *, (total - used) / open AS level FROM u),
+t AS (SELECT source, source_size, place, least(most, (SELECT level FROM v WHERE level <= ratio ORDER BY ratio, place LIMIT 1) * weight) AS target FROM v),
+p AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.place, CAST(floor(t.target + 0.5) AS BIGINT) AS wanted,
+    CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.doc_id NULLS FIRST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), x AS (
+  SELECT *, CASE WHEN source_size > 0 THEN wanted // source_size ELSE 0 END AS passes, CAST(start AS DOUBLE) / CAST(wanted AS DOUBLE) AS share FROM p
+), y AS (SELECT *, size * passes + greatest(0, least(size, wanted - passes * source_size - start)) AS taken FROM x)
+SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken,
+  CASE WHEN taken > 0 THEN CAST(floor(({_position('place', 'share')}) * 1e9::DOUBLE) AS BIGINT) END AS position_e9
+FROM y
+"""
+
+
+def _license_sql() -> str:
+    from .licenses import TEMPLATES, THRESHOLD
+
+    rows = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))
+    words = lambda c: f"list_filter(regexp_split_to_array({c}, '[^0-9a-z]+'), lambda x: x <> '')"
+    return f"""
+WITH tpl(i, license, txt) AS (VALUES {rows}),
+tw AS (SELECT i, t, count(*) AS c FROM (SELECT i, unnest({words('lower(txt)')}) AS t FROM tpl) GROUP BY ALL),
+vocab AS (SELECT DISTINCT t FROM tw),
+files AS (SELECT concat_ws('/', source, CAST(CAST(floor(doc_id / 1000) AS BIGINT) AS VARCHAR), CAST(doc_id AS VARCHAR)) AS path, text FROM documents),
+raw AS (SELECT path, unnest(string_split(lower(text), chr(10))) AS x, generate_subscripts(string_split(lower(text), chr(10)), 1) - 1 AS line FROM files),
+lines AS (SELECT path, line, {words('x')} AS w FROM raw WHERE len({words('x')}) > 0),
+total AS (SELECT count(*) AS n FROM lines),
+counts AS (SELECT path, line, t, count(*) AS c FROM (SELECT path, line, unnest(w) AS t FROM lines) GROUP BY ALL),
+df AS (SELECT t, count(*) AS n FROM counts SEMI JOIN vocab USING (t) GROUP BY t),
+idf AS (SELECT t, ln((total.n + 1) / (coalesce(df.n, 0) + 1)) + 1 AS w FROM vocab LEFT JOIN df USING (t), total),
+units AS (SELECT i, t, c * w / sqrt(sum((c * w) ** 2) OVER (PARTITION BY i)) AS u FROM tw JOIN idf USING (t)),
+norms AS (
+  SELECT path, line, sqrt(sum(CASE WHEN idf.w IS NOT NULL THEN (c * idf.w) ** 2 ELSE (ln(total.n + 1) + 1) ** 2 END)) AS norm
+  FROM counts LEFT JOIN idf USING (t), total GROUP BY path, line
+),
+sims AS (
+  SELECT path, line, i, sum(c * w * u) / any_value(norm) AS s FROM counts JOIN idf USING (t) JOIN units USING (t) JOIN norms USING (path, line) GROUP BY path, line, i
+),
+best AS (
+  SELECT path, line, i, s FROM sims WHERE s >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY path ORDER BY round(s, 12) DESC, line, i) = 1
+),
+headers AS (SELECT path, license, round(s, 6) AS similarity FROM best JOIN tpl USING (i)),
+dirs AS (SELECT path, string_split(path, '/') AS parts FROM (SELECT DISTINCT path FROM files)),
+ups AS (SELECT path, unnest(range(1, len(parts) + 1)) AS up, parts FROM dirs),
+above AS (SELECT path, up, array_to_string(list_slice(parts, 1, len(parts) - up), '/') AS dir FROM ups),
+notices AS (
+  SELECT dir, license AS notice FROM headers JOIN above USING (path) WHERE up = 1 AND license <> 'Proprietary'
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY similarity DESC, path) = 1
+),
+near AS (
+  SELECT path, dir, notice FROM above JOIN notices USING (dir) ANTI JOIN headers USING (path) QUALIFY row_number() OVER (PARTITION BY path ORDER BY up) = 1
+)
+SELECT dirs.path, coalesce(h.license, near.notice) AS license, CASE WHEN h.license IS NOT NULL THEN 'header' WHEN near.notice IS NOT NULL THEN 'directory' ELSE 'none' END AS basis,
+  h.similarity, near.dir AS from_dir
+FROM dirs LEFT JOIN headers h USING (path) LEFT JOIN near ON near.path = dirs.path
+"""
+
+
+SQL["op1_licenses"] = _license_sql()
+
+SQL["op2_substrings"] = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+t AS (SELECT doc_id, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+k AS (SELECT doc_id, n, p, string_agg(x, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS key FROM t),
+f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY key ORDER BY doc_id, p) > 1 AS later FROM k WHERE p <= n - 19),
+m AS (SELECT t.doc_id, t.x, t.p, coalesce(bool_or(later) OVER (PARTITION BY t.doc_id ORDER BY t.p ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone FROM t LEFT JOIN f ON t.doc_id = f.doc_id AND t.p = f.p),
+g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(x, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM m GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
