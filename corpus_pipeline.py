@@ -16,10 +16,11 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language: null or empty texts, and texts without a letter."""
+    """Rejects documents without a language: null or empty texts, and texts without a letter. Without labels to learn from, letters decide."""
     model = langid.train(docs, ~langid.held_out())
     found = langid.predict(docs, model, carry=COLUMNS)
-    return found.where(F.col("lang_pred") != "und" if model else F.lit(True)).select(COLUMNS)
+    known = F.col("lang_pred") != "und" if model else F.col("text").rlike(r"\p{L}")
+    return found.where(known).select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
