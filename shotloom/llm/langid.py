@@ -137,12 +137,15 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     """
     tune(docs.sparkSession)
     carried = [f"_c{i}" for i in range(len(carry))]
-    rows = docs.select(*[F.col(c).alias(a) for c, a in zip(carry, carried)], F.col(text_col).cast("string").alias("_text"))
+    rows = docs.select(*[F.col(c).alias(a) for c, a in zip(carry, carried)])
+    at_text = list(carry).index(text_col) if text_col in carry else len(carry)
+    if at_text == len(carry):  # the text moves once, carried or not
+        rows = docs.select(*[F.col(c).alias(a) for c, a in zip(carry, carried)], F.col(text_col).cast("string").alias("_text"))
 
     def run(batches):
         flags = np.zeros(BUCKETS, bool)
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
+            texts = b.column(at_text).to_pylist()
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
             if model:
                 for lo in range(0, len(texts), 512):
@@ -158,7 +161,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                         score[at] = 1 / odds.sum(1)
                         for i, k in zip(at, best.tolist()):
                             lang[i] = model.langs[k]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], [*carried, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(carried)], pa.array(lang, pa.string()), pa.array(score)], [*carried, "lang_pred", "score"])
 
     kinds = [f"{a} {rows.schema[a].dataType.simpleString()}" for a in carried]
     out = rows.mapInArrow(run, ", ".join([*kinds, "lang_pred string", "score double"]))
