@@ -157,7 +157,8 @@ def repeated_paths(docs: DataFrame, id_col: str, text_col: str, window: int, anc
                 )
 
     every = stored(rows.mapInArrow(read, "nil boolean, id long, tag int, start int, n int, a long, s long"), "paths")
-    again = every.groupBy("a").agg(F.count("*").alias("_times")).where("_times > 1").select("a")
+    # dealt anew, so that the join has exchanges of its own and adaptive execution can split a hot minimizer
+    again = every.groupBy("a").agg(F.count("*").alias("_times")).where("_times > 1").select("a").hint("rebalance")
     some = stored(every.join(again.hint("shuffle_hash"), "a"), "repeated")
     discard(every)
     variants = some.groupBy("a", "s").agg(F.min(_place()).alias("first"))
@@ -210,7 +211,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     open_ = spans.select(*KEY, F.filter("spans", lambda x: x["check"]).alias("checks")).where(F.size("checks") > 0)
     edges = texts.select(*KEY, "text").join(open_, KEY).select(*KEY, "text", "checks")
     edges = edges.mapInArrow(expand, "nil boolean, id long, tag int, start int, h0 long, h1 long")
-    first = edges.groupBy("h0", "h1").agg(F.min(_place()).alias("first"), F.count("*").alias("_times")).where("_times > 1").drop("_times")
+    first = edges.groupBy("h0", "h1").agg(F.min(_place()).alias("first"), F.count("*").alias("_times")).where("_times > 1").drop("_times").hint("rebalance")
     single = edges.join(first, ["h0", "h1"]).where(_place() > F.col("first")).groupBy(*KEY).agg(F.collect_set("start").alias("singles"))
     whole = spans.select(*KEY, F.transform(F.filter("spans", lambda x: ~x["check"]), lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"))).alias("runs"))
     found = texts.join(whole, KEY, "left").join(single, KEY, "left").select("_id", *names, "text", "runs", "singles")
