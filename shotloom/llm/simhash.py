@@ -208,4 +208,5 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     roots = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = linked.join(roots, "root").select(F.col("node").alias("fp"), "component_id")
     classes = distinct.join(by_fp, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    # dealt anew, so that the join has exchanges of its own and adaptive execution can split a hot fingerprint
+    return fps.join(classes.hint("rebalance"), "fp").select("doc_id", "fp", "component_id")
