@@ -13,8 +13,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Only nodes on some edge appear. Loops, repeats and either direction are
     allowed; null ends are ignored; no edges give no rows. Each node keeps its
-    smallest neighbour only, so a hub is a pre-aggregated minimum, and the join
-    back is one row per node against its edges, which adaptive execution splits.
+    smallest neighbour only, so a hub is a pre-aggregated minimum. The minima are
+    dealt anew before they are joined back: the join then has exchanges of its
+    own, and adaptive execution can split a hub's edges.
     """
     now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("child"), F.least("u", "v").alias("parent")).distinct(), "edges")
     mark = None
@@ -24,9 +25,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         mark = seen
         both = now.select(F.col("child").alias("u"), F.col("parent").alias("v")).unionByName(now.select(F.col("parent").alias("u"), F.col("child").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).hint("rebalance")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("child"), F.col("m").alias("parent")).distinct()
-        low = large.groupBy("child").agg(F.min("parent").alias("m"))
+        low = large.groupBy("child").agg(F.min("parent").alias("m")).hint("rebalance")
         ends = F.array(*[F.struct(F.col(c).alias("child"), F.col("m").alias("parent")) for c in ("child", "parent")])
         small = large.join(low, "child").select(F.explode(ends).alias("e")).select("e.*").where("child <> parent").distinct()
         before, now = now, stored(small, "edges")
