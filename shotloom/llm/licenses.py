@@ -129,7 +129,8 @@ def license_scan(files: DataFrame, path: Column, text: Column, is_notice: Column
     paths = files.select(path.cast("string").alias("path")).where("path is not null").distinct()
     directory = F.element_at(ancestors(F.col("path")), 1)
     notices = headers.where(is_notice).groupBy(directory.alias("dir")).agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("path").alias("p"), F.col("license").alias("l"))).alias("n"))
-    notices = notices.select("dir", F.col("n.l").alias("notice"))
+    # dealt anew, so that the join below has exchanges of its own and adaptive execution can split a large directory
+    notices = notices.select("dir", F.col("n.l").alias("notice")).hint("rebalance")
     own = paths.join(headers, "path", "left")
     open_ = own.where("license is null").select("path", F.posexplode(ancestors(F.col("path"))).alias("up", "dir"))
     near = open_.join(notices, "dir").groupBy("path").agg(F.min(F.struct("up", "dir", "notice")).alias("d"))
