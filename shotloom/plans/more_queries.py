@@ -14,6 +14,7 @@ from ..sources import documents, frames
 from . import pipelines
 from .fixtures import FRAMES, HEIGHT, OBSERVATIONS, TRACKS, WIDTH, all_frames, observations, table
 from .queries import CLAIMS, SEGMENTS, TURNS, _segments, _tracked, _turns, query
+from .scratch import numbered
 
 
 @query(CLAIMS + " SELECT shot_id, frame_idx, track_id, item_ord FROM ranked WHERE rk = 1")
@@ -216,13 +217,20 @@ def q49_frame_face_schedule(spark, sf_dir):
     return schedule.frame_face_schedule(f, 10).drop("closes")
 
 
+def embedded(spark, sf_dir):
+    """Observations with the embedding whose rank is a third of their number, modulo the count of embeddings; all are kept."""
+    e = table(spark, sf_dir, "embeddings").where("vec_id is not null")
+    ranks = numbered(e, "vec_id", "rank")
+    n = F.lit(ranks.count())
+    e = e.join(ranks, "vec_id").select("rank", "embedding")
+    rank = F.when(n > 0, F.pmod(F.floor(F.col("obs_ord") / 3), n))
+    return observations(spark, sf_dir).withColumn("rank", rank).join(e, "rank", "left")
+
+
 @query()
 def q50_identities(spark, sf_dir):
-    """Tracks with local and global ids; the vectors of observations come from the embeddings table by number."""
-    e = table(spark, sf_dir, "embeddings")
-    n = F.lit(500)
-    o = observations(spark, sf_dir).withColumn("vec_id", F.pmod(F.floor(F.col("obs_ord") / 3), n)).join(e.select("vec_id", "embedding"), "vec_id")
-    return pipelines.resolve_identities(o, local=0.4, overall=0.5).select("shot_id", "track_id", "local_id", "global_id")
+    """Tracks with local and global ids; the vectors of observations come from the embeddings table by rank, over the whole table."""
+    return pipelines.resolve_identities(embedded(spark, sf_dir), local=0.4, overall=0.5).select("shot_id", "track_id", "local_id", "global_id")
 
 
 @query(f"""WITH {OBSERVATIONS} SELECT obs_ord, x1 + 60 AS x, y1 + 10 AS y FROM obs""")

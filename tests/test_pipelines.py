@@ -1,15 +1,17 @@
 """Whole flows, rendering rows and the streaming segments."""
 
 import json
+import os
 
 from pyspark.sql import functions as F
 
 from shotloom import cli
 from shotloom.operators import render, shots
-from shotloom.plans import pipelines
+from shotloom.plans import fixtures, more_queries, pipelines
 from shotloom.sources import documents
 from shotloom.streaming import tracks as S
 
+SF = "/root/testdata/sf0.001"
 OBS = "shot_id long, frame_idx int, obs_ord long, x1 int, y1 int, x2 int, y2 int, embedding array<float>"
 A, B = [1.0, 0.0], [0.0, 1.0]
 
@@ -79,3 +81,11 @@ def test_commands(spark, tmp_path):
     (tmp_path / "shots.json").write_text(json.dumps({"shots": []}))
     assert cli.main(["validate", str(tmp_path / "shots.json"), str(tmp_path / "faults")]) == 0
     assert spark.read.parquet(str(tmp_path / "faults")).count() == 1
+
+
+def test_all_embeddings_take_part(spark, tmp_path):
+    os.symlink(f"{SF}/events.parquet", tmp_path / "events.parquet")
+    spark.createDataFrame([(v, [float(v)]) for v in (5, 7, 1000)], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    want = {r["obs_ord"]: [(5.0, 7.0, 1000.0)[r["obs_ord"] // 3 % 3]] for r in fixtures.observations(spark, SF).collect()}
+    rows = more_queries.embedded(spark, str(tmp_path)).collect()
+    assert {r["obs_ord"]: r["embedding"] for r in rows} == want and len(rows) == len(want)
