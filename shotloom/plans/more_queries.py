@@ -243,3 +243,11 @@ def q51_mouth_midpoint(spark, sf_dir):
 def q52_most_faces(spark, sf_dir):
     drawn = render.drawn_faces(observations(spark, sf_dir), ["shot_id", "frame_idx"], WIDTH // 2, HEIGHT)
     return render.most_faces(drawn, "shot_id", F.col("frame_idx") % 2 == 0)
+
+
+@query()
+def q53_shot_schedule(spark, sf_dir):
+    """Every frame's action by the shot schedule when every seventh frame loses its trackers: scheduled, without a face, tracked or fallback."""
+    counts = observations(spark, sf_dir).groupBy("shot_id", "frame_idx").agg(F.count("*").alias("detected"))
+    f = all_frames(spark, sf_dir).join(counts, ["shot_id", "frame_idx"], "left").withColumn("tracked_ok", F.col("frame_idx") % 7 != 6)
+    return schedule.shot_schedule(f, 10)

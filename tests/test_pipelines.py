@@ -2,6 +2,7 @@
 
 import json
 import os
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -89,3 +90,20 @@ def test_all_embeddings_take_part(spark, tmp_path):
     want = {r["obs_ord"]: [(5.0, 7.0, 1000.0)[r["obs_ord"] // 3 % 3]] for r in fixtures.observations(spark, SF).collect()}
     rows = more_queries.embedded(spark, str(tmp_path)).collect()
     assert {r["obs_ord"]: r["embedding"] for r in rows} == want and len(rows) == len(want)
+
+
+def test_shot_schedule_against_state_machine(spark):
+    faces = Counter((r["shot_id"], r["frame_idx"]) for r in fixtures.observations(spark, SF).collect())
+    want = set()
+    for shot in {s for s, _ in faces}:
+        seen, held = False, 0
+        for i in range(fixtures.DAYS):
+            found = faces[shot, i]
+            if i % 10 and seen and held and i % 7 != 6:
+                want.add((shot, i, "tracked", held, False))
+                continue
+            lost = bool(i % 10 and seen and held)
+            want.add((shot, i, "fallback" if lost else "detected", found, lost))
+            seen, held = seen or found > 0, found
+    got = [tuple(r) for r in more_queries.q53_shot_schedule(spark, SF).select("shot_id", "frame_idx", "action", "n_faces", "closes").collect()]
+    assert set(got) == want and len(got) == len(want) and {a for _, _, a, _, _ in got} == {"detected", "tracked", "fallback"}
