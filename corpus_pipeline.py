@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shotloom.llm import bpe, common, langid, mixing, simhash, substrings
+from shotloom.llm import bpe, common, langid, mixing, near, substrings
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -26,9 +26,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies; one row of those that share that id.
 
+    Near copies have 80 hundredths or more of their five-word shingles in common (Jaccard).
     Documents without an id belong to no group; equal texts among them stay once.
     """
-    keep = simhash.simhash_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
+    keep = near.near_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
     order = Window.partitionBy("doc_id").orderBy("text", "source", "lang", "n_chars")
     kept = docs.join(keep, "doc_id", "left_semi").withColumn("_row", F.row_number().over(order)).where("_row = 1")
     return kept.select(COLUMNS).unionByName(docs.where("doc_id is null").select(COLUMNS).dropDuplicates(["text"]))
@@ -60,7 +61,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language ID", language),
-    ("SimHash near-dedup", near_duplicates),
+    ("near-dedup", near_duplicates),
     ("substring dedup", repeated_passages),
     ("mixing sources", source_mix),
     ("byte-level BPE", encode),

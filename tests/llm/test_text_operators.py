@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 import xxhash
 
-from shotloom.llm import bpe, queries, simhash, spans, substrings, token_counts
+from shotloom.llm import bpe, near, queries, simhash, spans, substrings, token_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PATH = public_tokenizers.path(queries.VOCABULARY)
@@ -184,3 +184,36 @@ def test_vantage_point_search_loses_no_link(spark, monkeypatch, shard, leaf):
     got = simhash.links(df, 2).collect()
     u, v = np.array([at[r["u"]] for r in got]), np.array([at[r["v"]] for r in got])
     assert (np.bitwise_count(fps[u] ^ fps[v]) <= 64).all() and (simhash.forest(len(fps), u, v) == want).all()
+
+
+def likeness_groups(texts):
+    """Position -> smallest position of its component, for Jaccard >= 0.8 of five-word shingle sets."""
+    sets = []
+    for t in texts:
+        words = (t or "").encode().translate(simhash.LOWER).split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    label, holders, pairs = list(range(len(sets))), {}, set()
+    for i, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    shared = Multiset((i, j) for own in holders.values() for n, j in enumerate(own) for i in own[:n])
+    for (i, j), k in shared.items():
+        if 5 * k >= 4 * (len(sets[i]) + len(sets[j]) - k):
+            pairs.add((i, j))
+            a, b = sorted((label[i], label[j]))
+            label = [a if x == b else x for x in label]
+    return label, pairs
+
+
+def test_near_groups_against_brute_force(spark, monkeypatch):
+    rows = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    rng = random.Random(2)
+    base = rng.choices("abcdefghijklmnopqrstuvwxyz", k=90)
+    dense = [" ".join(rng.choice(base) if rng.random() < 0.02 else w for w in base) for _ in range(60)]
+    for texts, turns in ((rows, near.TURNS), (dense, 0), (dense, near.TURNS)):
+        monkeypatch.setattr(near, "TURNS", turns)
+        label, pairs = likeness_groups(texts)
+        got = near.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(label)) and len(got) == len(texts) and pairs
+        # what a SimHash radius of 2 leaves apart
+        assert any((simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).bit_count() > 2 for i, j in pairs)
