@@ -2,11 +2,11 @@
 
 The kernel is the blended spectrum of presences: the n-grams (n = 1 to ORDER) of
 letters and word bounds that two texts share, over the geometric mean of how
-many each has. N-grams are hashed into BUCKETS; the SELECTED ones whose presence
-varies most in the sample are kept. Landmarks are sampled texts, evenly from the
-languages. One ridge regression for each language (one versus the rest) is
-fitted in the Nyström feature space; a batch of texts is scored by two matrix
-products.
+many each has. N-grams are exact: the code points of one fill a long. Of those
+in the sample, the SELECTED ones whose presence differs most between languages
+span the kernel. Landmarks are sampled texts, evenly from the languages. One
+ridge regression for each language (one versus the rest) is fitted in the
+Nyström feature space; a batch of texts is scored by two matrix products.
 """
 
 from __future__ import annotations
@@ -15,14 +15,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, tune
+from .common import discard, fold, stored, tune
 
-ORDER, BUCKETS, SELECTED, LANDMARKS, RIDGE, SHARPNESS = 3, 1 << 15, 4096, 128, 1e-2, 4.0
-#: At most SAMPLE labelled rows are fitted, about as many of each language; at most LANGUAGES languages, the commonest, are learned.
-SAMPLE, LANGUAGES = 3000, 200
+ORDER, SELECTED, LANDMARKS, RIDGE, SHARPNESS = 3, 4096, 128, 1e-2, 4.0
+#: About SAMPLE labelled rows are fitted, as many of each language (or all it has), but LEAST of each if there are many languages.
+SAMPLE, LEAST = 3000, 12
 _LETTER = np.array([chr(c).isalpha() for c in range(1 << 16)])
 
 
@@ -38,44 +38,47 @@ def letters(text: str | None) -> np.ndarray:
     return np.concatenate(([0], out, [0])).astype(np.uint32) if letter.any() else out[:0].astype(np.uint32)
 
 
-def presence(text: str | None, flags: np.ndarray) -> bool:
-    """Set flags (BUCKETS booleans) at the text's n-grams; False if it has no letter."""
-    flags[:] = False
-    x = letters(text)
+def grams(text: str | None) -> np.ndarray:
+    """The text's n-grams, with repeats, as longs: code point + 1 in each 21 bits. Empty without a letter."""
+    x = letters(text).astype(np.int64)
     if not len(x):
-        return False
-    h = x * np.uint32(0x9E3779B1)
-    for n in range(1, ORDER + 1):
-        flags[((h ^ np.uint32(n * 0x3C6EF372)) * np.uint32(0x85EBCA6B)) >> np.uint32(17)] = True
-        if n < ORDER and len(x) > n:
-            h = (h[:-1] ^ (h[:-1] >> np.uint32(15))) * np.uint32(0x2C1B3C6D) + x[n:] * np.uint32(0x9E3779B1)
-    return True
+        return x
+    code, out = np.zeros(len(x), np.int64), []
+    for n in range(ORDER):
+        code = code[: len(x) - n] | (x[n:] + 1) << (21 * n)
+        out.append(code)
+    return np.concatenate(out)
+
+
+def presence(found: np.ndarray, selected: np.ndarray) -> np.ndarray:
+    """Which of the selected (sorted) n-grams are among those found."""
+    at = np.minimum(np.searchsorted(selected, found), len(selected) - 1)
+    flags = np.zeros(len(selected), bool)
+    flags[at[selected[at] == found]] = True
+    return flags
 
 
 @dataclass
 class Model:
-    """langs: classes in order; buckets: the selected ones; marks: landmark presences, normalised; beta: a column for each class."""
+    """langs: classes in order; selected: the n-grams, sorted; marks: landmark presences, normalised; beta: a column for each class."""
 
     langs: list[str]
-    buckets: np.ndarray
+    selected: np.ndarray
     marks: np.ndarray
     beta: np.ndarray
 
     def decide(self, present: np.ndarray) -> np.ndarray:
-        """Decision values of a batch: present is texts x selected buckets."""
+        """Decision values of a batch: present is texts x selected n-grams."""
         x = present.astype(np.float32)
         norm = np.sqrt(x.sum(1, keepdims=True))
         return (x @ self.marks.T / np.maximum(norm, 1)) @ self.beta
 
 
-def fit(present: np.ndarray, labels: list[str]) -> Model:
-    """Fit on a bounded sample: present is rows x BUCKETS booleans, labels their languages."""
+def fit(present: np.ndarray, labels: list[str], selected: np.ndarray) -> Model:
+    """Fit on a bounded sample: present is rows x selected n-grams, labels their languages."""
     langs = sorted(set(labels))
     y = np.array([langs.index(x) for x in labels], np.int64)
-    share = np.array([present[y == k].mean(0) for k in range(len(langs))])
-    spread = share.var(0) + 1e-3 * share.mean(0) * (1 - share.mean(0))
-    buckets = np.sort(np.argsort(-spread, kind="stable")[:SELECTED])
-    x = present[:, buckets].astype(np.float32)
+    x = present.astype(np.float32)
     own = [np.flatnonzero(y == k) for k in range(len(langs))]
     turns = max(map(len, own))
     picked = [rows[i] for i in range(turns) for rows in own if i < len(rows)][: max(LANDMARKS, 2 * len(langs))]
@@ -89,50 +92,63 @@ def fit(present: np.ndarray, labels: list[str]) -> Model:
     target = np.where(y[:, None] == np.arange(len(langs)), 1.0, -1.0)
     gram = (phi * weight[:, None]).T @ phi + RIDGE * len(langs) / len(y) * np.eye(phi.shape[1])
     beta = root @ np.linalg.solve(gram, (phi * weight[:, None]).T @ target)
-    return Model(langs, buckets, marks, beta.astype(np.float32))
+    return Model(langs, selected, marks, beta.astype(np.float32))
 
 
 def train(docs: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
-    """Fit on at most `sample` rows of docs with a language and for which the column `usable` holds; None if there are none.
+    """Fit on rows of docs with a language and a letter for which the column `usable` holds; None if there are none.
 
-    Rows are chosen by a hash of their id, so reruns agree. Whole texts are turned
-    into presences on the executors; the driver gets BUCKETS bits for each row.
+    Every language is learned, from about sample / languages rows, LEAST at
+    least, chosen by a hash of id and text, so that reruns agree and equal rows
+    count once. Whole texts become n-grams on the executors. The driver gets the
+    SELECTED n-grams and as many bits for each sampled row.
     """
     tune(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), usable.alias("_use"))
-    rows = rows.where("_use and lang is not null and doc_id is not null").drop("_use")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
+    rows = rows.where("_use and lang is not null and doc_id is not null").where(F.col("text").rlike(r"\p{L}"))
+    rows = rows.select("lang", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("key"), "text")
+    languages = rows.select(F.count_distinct("lang")).head()[0]
+    if not languages:
         return None
-    each = sample / len(counts)
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, 1.2 * each / r["count"]))])
-    key = F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid"))
-    rows = rows.where(F.pmod(key, F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003).withColumn("key", key)
+    each = max(LEAST, -(-sample // languages))
+    chosen = rows.select("lang", "key").distinct().withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("_n") <= each)
+    own = rows.join(chosen.select("lang", "key"), ["lang", "key"]).groupBy("lang", "key").agg(F.first("text").alias("text"))
+    own = stored(own, "sample")
 
-    def run(batches):
-        flags = np.zeros(BUCKETS, bool)
+    def count(batches):
         for b in batches:
-            keep, bits = [], []
-            for i, t in enumerate(b.column(0).to_pylist()):
-                if presence(t, flags):
-                    keep.append(i)
-                    bits.append(np.packbits(flags).tobytes())
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(bits, pa.binary()), b.column(1).take(at), b.column(2).take(at)], ["bits", "lang", "key"])
-
-    found = rows.select("text", "lang", "key").mapInArrow(run, "bits binary, lang string, key long").orderBy("key", "lang", "bits").limit(sample).collect()
-    if not found:
+            found = [np.unique(grams(t)) for t in b.column(1).to_pylist()]
+            of = pa.array(np.repeat(np.arange(b.num_rows), list(map(len, found))))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(of), pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))], ["lang", "gram"])
+
+    sizes = own.groupBy("lang").agg(F.count("*").alias("rows"))
+    share = own.select("lang", "text").mapInArrow(count, "lang string, gram long").groupBy("lang", "gram").count().join(sizes, "lang").select("gram", (F.col("count") / F.col("rows")).alias("x"))
+    mean = F.sum("x") / languages
+    spread = F.sum(F.col("x") * F.col("x")) / languages - mean * mean + F.lit(1e-3) * mean * (1 - mean)
+    best = share.groupBy("gram").agg(F.round(spread, 12).alias("spread")).orderBy(F.desc("spread"), "gram").limit(SELECTED).collect()
+    selected = np.sort(np.array([r["gram"] for r in best], np.int64))
+    if not len(selected):
         return None
-    bits = np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in found), np.uint8).reshape(len(found), -1), axis=1)
-    return fit(bits.astype(bool), [r["lang"] for r in found])
+
+    def bits(batches):
+        for b in batches:
+            found = [np.packbits(presence(grams(t), selected)).tobytes() for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], ["lang", "key", "bits"])
+
+    got = sorted(own.mapInArrow(bits, "lang string, key long, bits binary").collect(), key=lambda r: (r["key"], r["lang"]))
+    discard(own)
+    present = np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in got), np.uint8).reshape(len(got), -1), axis=1)[:, : len(selected)]
+    return fit(present.astype(bool), [r["lang"] for r in got], selected)
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = ()) -> DataFrame:
-    """(carried columns, lang_pred, score): one row for each row of docs.
+    """(carried columns, lang_pred, score, margin): one row for each row of docs.
 
     lang_pred is `und` and score 0 where the text is null, empty or has no letter,
     and everywhere if there is no model. score is the winner's share among the
-    languages (softmax of the decision values). Ties go to the first language by
+    languages (softmax of the decision values), margin its decision value: of one
+    against the rest, about 1 for a text like those learned, negative for a text
+    that every language rejects, null for `und`. Ties go to the first language by
     code point. Texts of any length are read whole.
     """
     tune(docs.sparkSession)
@@ -143,29 +159,25 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
         rows = docs.select(*[F.col(c).alias(a) for c, a in zip(carry, carried)], F.col(text_col).cast("string").alias("_text"))
 
     def run(batches):
-        flags = np.zeros(BUCKETS, bool)
         for b in batches:
             texts = b.column(at_text).to_pylist()
-            lang, score = ["und"] * len(texts), np.zeros(len(texts))
-            if model:
-                for lo in range(0, len(texts), 512):
-                    at, present = [], []
-                    for i in range(lo, min(lo + 512, len(texts))):
-                        if presence(texts[i], flags):
-                            at.append(i)
-                            present.append(flags[model.buckets])
-                    if at:
-                        value = model.decide(np.array(present)).astype(np.float64)
-                        best = value.argmax(1)
-                        odds = np.exp(SHARPNESS * (value - value.max(1, keepdims=True)))
-                        score[at] = 1 / odds.sum(1)
-                        for i, k in zip(at, best.tolist()):
-                            lang[i] = model.langs[k]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(carried)], pa.array(lang, pa.string()), pa.array(score)], [*carried, "lang_pred", "score"])
+            lang, score, margin = ["und"] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan)
+            for lo in range(0, len(texts) if model else 0, 512):
+                found = [(i, grams(texts[i])) for i in range(lo, min(lo + 512, len(texts)))]
+                found = [(i, g) for i, g in found if len(g)]
+                if found:
+                    at = [i for i, _ in found]
+                    value = model.decide(np.array([presence(g, model.selected) for _, g in found])).astype(np.float64)
+                    best = value.argmax(1)
+                    margin[at] = value.max(1)
+                    score[at] = 1 / np.exp(SHARPNESS * (value - value.max(1, keepdims=True))).sum(1)
+                    for i, k in zip(at, best.tolist()):
+                        lang[i] = model.langs[k]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(carried)], pa.array(lang, pa.string()), pa.array(score), pa.array(margin, from_pandas=True)], [*carried, "lang_pred", "score", "margin"])
 
     kinds = [f"{a} {rows.schema[a].dataType.simpleString()}" for a in carried]
-    out = rows.mapInArrow(run, ", ".join([*kinds, "lang_pred string", "score double"]))
-    return out.select(*[F.col(a).alias(c) for c, a in zip(carry, carried)], "lang_pred", "score")
+    out = rows.mapInArrow(run, ", ".join([*kinds, "lang_pred string, score double, margin double"]))
+    return out.select(*[F.col(a).alias(c) for c, a in zip(carry, carried)], "lang_pred", "score", "margin")
 
 
 def held_out(id_col: str = "doc_id"):
