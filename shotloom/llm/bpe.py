@@ -22,8 +22,8 @@ from .common import tune
 
 #: Byte b is the character with code point BYTE_BASE + b; none of them is white space or special to sentencepiece.
 BYTE_BASE = 0x4E00
-#: Pre-tokens whose ids a worker remembers; beyond that it forgets them all and goes on.
-CACHE = 400_000
+#: Bytes of pre-tokens and their ids that a worker remembers, with ENTRY for each; beyond that it forgets them all and goes on.
+CACHE, ENTRY = 48 << 20, 200
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -73,6 +73,7 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(ranks))
         self.seen: dict[str, bytes] = {}
+        self.held = 0
 
     def learn(self, pre_tokens: set[str]) -> None:
         """Remember the ids of pre-tokens: a vocabulary entry is its own id, others are merged by sentencepiece."""
@@ -86,6 +87,7 @@ class Codec:
         mapped = [p.encode().decode("latin-1").translate(_SHIFT) for p in rest]
         for p, pieces in zip(rest, self.sp.encode(mapped, out_type=int, num_threads=1) if mapped else ()):
             self.seen[p] = self.ids[np.array(pieces, np.int64) - 1].tobytes()
+        self.held += sum(ENTRY + 4 * len(p) + len(self.seen[p]) for p in pre_tokens)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -93,8 +95,8 @@ class Codec:
         try:
             return b"".join(map(self.seen.__getitem__, pre))
         except KeyError:
-            if len(self.seen) > CACHE:
-                self.seen = {}
+            if self.held > CACHE:
+                self.seen, self.held = {}, 0
             self.learn({p for p in pre if p not in self.seen})
         return b"".join(map(self.seen.__getitem__, pre))
 
@@ -116,7 +118,9 @@ def bpe(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id",
 
     Returns doc_id, n_tokens, ids_sha256, decoded_sha256 and, with keep_ids,
     ids (array of int) and decoded (string). Null and empty texts have no
-    tokens. Every row of docs gives one row; other columns are ignored. The
+    tokens. Texts of any length are read whole: a worker holds one batch of texts
+    with their ids, and at most CACHE bytes of remembered pre-tokens besides.
+    Every row of docs gives one row; other columns are ignored. The
     vocabulary (a rank file on the driver, bounded by its size) travels with
     the task, so executors need no copy of the file.
     """

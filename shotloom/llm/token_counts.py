@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import tune
 
-#: Pre-tokens in a leaf of the tree; characters the pattern can look ahead besides a run of white space; remembered pre-tokens.
-LEAF, AHEAD, CACHE = 32, 3, 400_000
+#: Pre-tokens in a leaf of the tree; characters the pattern can look ahead besides a run of white space.
+LEAF, AHEAD = 32, 3
+#: Bytes of pre-tokens that a worker remembers the counts of, with ENTRY for each; beyond that it forgets them all and goes on.
+CACHE, ENTRY = 48 << 20, 150
 
 
 class Counter:
@@ -34,15 +36,17 @@ class Counter:
         self.match = regex.compile(pattern)
         self.encode = tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.seen: dict[str, int] = {}
+        self.held = 0
 
     def count(self, pre_tokens: list[str]) -> np.ndarray:
         try:
             return np.fromiter(map(self.seen.__getitem__, pre_tokens), np.int64, len(pre_tokens))
         except KeyError:
-            if len(self.seen) > CACHE:
-                self.seen = {}
+            if self.held > CACHE:
+                self.seen, self.held = {}, 0
             for p in set(pre_tokens).difference(self.seen):
                 self.seen[p] = len(self.encode(p.encode()))
+                self.held += ENTRY + 4 * len(p)
         return np.fromiter(map(self.seen.__getitem__, pre_tokens), np.int64, len(pre_tokens))
 
 
