@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import fold, tune
 
-BITS, ALPHA, BETA, L1, L2, EPOCHS = 20, 2.0, 1.0, 4.0, 0.001, 8
-#: At most so many labelled rows of each class are fitted.
-SAMPLE = 4000
+BITS = 20
+#: At most so many labelled rows of each class are fitted, and of these, in order of a hash, at most so many feature slots in all.
+SAMPLE, SLOTS = 4000, 40_000_000
 #: A prediction is 1 from this score.
 THRESHOLD = 0.7
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+").findall
@@ -42,6 +42,20 @@ def slots(text: str | None) -> np.ndarray:
     return (x >> np.uint64(64 - BITS)).astype(np.int32)
 
 
+@dataclass(frozen=True)
+class Settings:
+    """Of FTRL-proximal; the defaults are cross_validated()'s choice among CANDIDATES on the learnable rows of the tables (README)."""
+
+    alpha: float = 2.0
+    beta: float = 1.0
+    l1: float = 8.0
+    l2: float = 0.001
+    epochs: int = 4
+
+
+CANDIDATES = tuple(Settings(alpha=a, l1=p, epochs=e) for a in (0.5, 1.0, 2.0) for p in (2.0, 4.0, 8.0) for e in (2, 4, 8))
+
+
 @dataclass
 class Weights:
     """Non-zero weights at slots (sorted), and the intercept."""
@@ -56,59 +70,99 @@ class Weights:
         return w
 
 
-def ftrl(rows: list[np.ndarray], labels: list[int], seed: int = 7) -> Weights:
+def ftrl(rows: list[np.ndarray], labels: list[int], settings: Settings = Settings(), seed: int = 7) -> Weights:
     """Fit on rows of distinct slots. The intercept is an unpenalised feature of its own."""
-    size = 1 << BITS
+    size, s = 1 << BITS, settings
     z, n = np.zeros(size + 1), np.zeros(size + 1)
     rng = np.random.default_rng(seed)
 
     def weights(at):
         zz = z[at]
-        w = -(zz - np.sign(zz) * L1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
-        w[(np.abs(zz) <= L1) & (at < size)] = 0
+        rate = (s.beta + np.sqrt(n[at])) / s.alpha + s.l2
         free = at == size
-        w[free] = -zz[free] / ((BETA + np.sqrt(n[at[free]])) / ALPHA + L2)
+        w = -(zz - np.where(free, 0, np.sign(zz) * s.l1)) / rate
+        w[(np.abs(zz) <= s.l1) & ~free] = 0
         return w
 
     rows = [np.append(r, size).astype(np.int64) for r in rows]
-    for _ in range(EPOCHS):
+    for _ in range(s.epochs):
         for i in rng.permutation(len(rows)):
             at = rows[i]
             w = weights(at)
             g = 1 / (1 + math.exp(-max(-35.0, min(35.0, w.sum())))) - labels[i]
             root = np.sqrt(n[at] + g * g)
-            z[at] += g - (root - np.sqrt(n[at])) / ALPHA * w
+            z[at] += g - (root - np.sqrt(n[at])) / s.alpha * w
             n[at] += g * g
     w = weights(np.arange(size + 1))
     found = np.flatnonzero(w[:size])
     return Weights(found.astype(np.int32), w[found].astype(np.float32), float(w[size]))
 
 
-def train(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Weights:
-    """Fit on at most `sample` labelled rows of each class, chosen by a hash of their id.
-
-    usable is a column over the id. A document labelled twice counts as toxic if
-    one label says so; null labels and ids are ignored. Without rows of both
-    classes the weights are empty and every score is 1/2 or the prior's.
-    """
-    spark = docs.sparkSession
-    tune(spark)
+def cross_validated(rows: list[np.ndarray], labels: list[int], folds: int = 4, candidates: tuple[Settings, ...] = CANDIDATES) -> list[tuple[int, float, Settings]]:
+    """(wrong predictions, mean log loss) on the folds left out, and the settings, best first; row i is in fold i modulo folds."""
+    out = []
+    for c in candidates:
+        wrong, loss = 0, 0.0
+        for f in range(folds):
+            rest = [i for i in range(len(rows)) if i % folds != f]
+            w = ftrl([rows[i] for i in rest], [labels[i] for i in rest], c)
+            dense = w.dense()
+            for i in range(f, len(rows), folds):
+                x = max(-35.0, min(35.0, float(dense[rows[i]].sum()) + w.intercept))
+                loss += math.log1p(math.exp(-x if labels[i] else x))
+                wrong += (1 / (1 + math.exp(-x)) >= THRESHOLD) != bool(labels[i])
+        out.append((wrong, loss / max(1, len(rows)), c))
+    return sorted(out, key=lambda x: x[:2])
+
+
+def sampled(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> DataFrame:
+    """(key, doc_id, y, slots): distinct feature slots of at most `sample` labelled documents of each class, chosen by a hash of their id."""
+    tune(docs.sparkSession)
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null")
     marks = marks.groupBy("doc_id").agg(F.max("y").alias("y")).where(usable)
-    key = F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity"))
-    chosen = [marks.where(c).orderBy(key, "doc_id").limit(sample) for c in ("y = 1", "y <> 1")]
+    marks = marks.select("doc_id", (F.col("y") == 1).cast("int").alias("y"), F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity")).alias("key"))
+    chosen = [marks.where(F.col("y") == c).orderBy("key", "doc_id").limit(sample) for c in (0, 1)]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    rows = rows.groupBy("key", "doc_id", "y").agg(F.min("text").alias("text"))  # one text of an id
 
     def run(batches):
         for b in batches:
-            found = [np.unique(slots(t)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "y", "slots"])
+            found = [np.unique(slots(t)) for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(found, pa.list_(pa.int32()))], ["key", "doc_id", "y", "slots"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    got = rows.mapInArrow(run, f"doc_id {kind}, y int, slots array<int>").toArrow()
-    got = got.sort_by([("doc_id", "ascending"), ("y", "ascending")])
-    x = [np.asarray(v.values, np.int32) for v in got.column("slots").combine_chunks()] if got.num_rows else []
-    return ftrl(x, [int(v == 1) for v in got.column("y").to_pylist()])
+    return rows.mapInArrow(run, f"key long, doc_id {kind}, y int, slots array<int>")
+
+
+def train(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, settings: Settings = Settings()) -> Weights:
+    """Fit on at most `sample` labelled documents of each class and SLOTS feature slots, chosen by a hash of their id.
+
+    usable is a column over the id. A document labelled twice counts as toxic if
+    one label says so; null labels and ids are ignored. Of documents that share an
+    id one counts, the one with the smallest text. One task of an executor fits
+    the sample; the driver gets the weights that the L1 penalty leaves. Without
+    labelled rows the weights are empty and every score is 1/2.
+    """
+    most = SLOTS
+
+    def fit(batches):
+        x, y, total = [], [], 0
+        for b in batches:
+            for row, label in zip(b.column(3), b.column(2).to_pylist()):
+                own = np.asarray(row.values)
+                total += len(own)
+                if total > most:
+                    break
+                x.append(own)
+                y.append(label)
+        if y:
+            w = ftrl(x, y, settings)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(w.slots, -1).astype(np.int32)), pa.array(np.append(w.values.astype(np.float64), w.intercept))], ["slot", "weight"])
+
+    rows = sampled(docs, labels, usable, id_col, text_col, label_col, sample)
+    got = rows.repartition(1).sortWithinPartitions("key", "doc_id").mapInArrow(fit, "slot int, weight double").toArrow()
+    at, w = np.asarray(got.column("slot")), np.asarray(got.column("weight"))
+    return Weights(at[at >= 0], w[at >= 0].astype(np.float32), float(w[at < 0].sum()))
 
 
 def score(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,7 +191,8 @@ def held_out(id_col: str = "doc_id"):
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs; predicted is 1 from THRESHOLD.
 
-    An empty table gives an empty result; columns of either table that aren't named are ignored.
+    Null and empty texts get the intercept's score, equal texts equal scores;
+    texts of any length are read whole. An empty table gives an empty result; columns of either table that aren't named are ignored.
     """
     weights = train(docs, labels, ~held_out("doc_id"), id_col, text_col, label_col)
     found = score(docs, weights, id_col, text_col)
