@@ -1,11 +1,14 @@
 """License scans: TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest directory.
 
-DataFrame operations only. The vector space is the templates' vocabulary, so its
-statistics are bounded by the templates; document frequencies are counted over
-all lines of all files. A token outside the vocabulary counts as unseen: it has
-the largest weight and only lengthens the vector. Lines without one of the heavy
-terms can't reach the threshold (the other terms of a template are too light for
-that), so only the others are compared.
+DataFrame operations only. What is compared: every run of one to LINES lines, so
+that a wrapped statement counts as one; every paragraph, such as a header block
+or the title or grant of a licence file; and the whole file. The vector space is
+the templates' vocabulary, so its statistics are bounded by the templates;
+document frequencies are counted over all lines of all files. A token outside
+the vocabulary counts as unseen: it has the largest weight and only lengthens
+the vector. Units without one of the heavy terms can't reach the threshold (the
+other terms of a template are too light for that), so only the others are
+compared.
 """
 
 from __future__ import annotations
@@ -19,21 +22,53 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Short forms in which licences are stated, by SPDX identifier.
-TEMPLATES = (
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+#: Names under which licences are stated, by SPDX identifier; a statement is each name after each of FRAMES.
+NAMES = (
+    ("MIT", "MIT License"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("ISC", "ISC License"),
+    ("Apache-2.0", "Apache License, Version 2.0"),
+    ("GPL-2.0", "GNU General Public License, version 2"),
+    ("GPL-3.0", "GNU General Public License, version 3"),
+    ("LGPL-2.1", "GNU Lesser General Public License, version 2.1"),
+    ("LGPL-3.0", "GNU Lesser General Public License, version 3"),
+    ("AGPL-3.0", "GNU Affero General Public License, version 3"),
+    ("MPL-2.0", "Mozilla Public License, Version 2.0"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("CC-BY-4.0", "CC BY 4.0"),
+    ("CC-BY-SA-4.0", "CC BY-SA 4.0"),
+    ("CC-BY-NC-4.0", "CC BY-NC 4.0"),
+)
+FRAMES = ("Licensed under the", "Released under the")
+#: What licences say of themselves in headers, titles and grants, by SPDX identifier.
+PASSAGES = (
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "All rights reserved."),
 )
+TEMPLATES = tuple((spdx, f"{frame} {name}") for spdx, name in NAMES for frame in FRAMES) + PASSAGES
+#: Lines in a run at most. Kinds of unit: a run of 1 to LINES lines, then paragraph and file.
+LINES = 3
+PARAGRAPH, FILE = LINES + 1, LINES + 2
+BLANK = "\n[^0-9a-z\n]*\n"
 TOKEN = r"[^0-9a-z]+"
 THRESHOLD = 0.7
 #: Base names of licence files.
@@ -56,12 +91,12 @@ def _weights(templates, df: dict[str, int], n: int):
     return weight, idf(0), units
 
 
-def heavy_terms(units, threshold: float) -> list[str]:
-    """Terms such that what any template has without them is lighter than the threshold."""
+def heavy_terms(units, weight: dict[str, float], threshold: float) -> list[str]:
+    """Terms such that what any template has without them is lighter than the threshold; the rarest serve first."""
     heavy: set[str] = set()
     for v in units:
         rest = sum(x * x for t, x in v.items() if t not in heavy)
-        for t, x in sorted(v.items(), key=lambda p: (-p[1], p[0])):
+        for t, x in sorted(v.items(), key=lambda p: (-weight[p[0]], -p[1], p[0])):
             if rest < (threshold - 1e-6) ** 2:
                 break
             if t not in heavy:
@@ -71,39 +106,59 @@ def heavy_terms(units, threshold: float) -> list[str]:
 
 
 def scan_headers(files: DataFrame, path: Column, text: Column, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(path, license, similarity, line) for every file with a line that states a licence; its best line, first if tied.
-
-    Every line of every whole text is a candidate. Null texts have none; a null
-    path is ignored. Ties between templates go to the first. Rows that share a
-    path are one file.
+    """(path, license, similarity, kind, at) for every file that states a licence: its best unit.
+
+    kind is the number of lines of a run (at is its first line, from 0),
+    PARAGRAPH (at counts paragraphs, parted by lines without letters or digits)
+    or FILE. Of equally similar units the smallest kind counts, then the first;
+    of templates the first. Every whole text is cut into units. Null texts have
+    none; a null path is ignored. Rows that share a path are one file with all
+    their units.
     """
-    rows = files.select(path.cast("string").alias("path"), text.cast("string").alias("text")).where("path is not null and text is not null")
-    lines = rows.select("path", F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "words"))
-    lines = lines.withColumn("words", F.array_remove(F.split("words", TOKEN), "")).where(F.size("words") > 0)
+    rows = files.select(path.cast("string").alias("path"), F.lower(text.cast("string")).alias("text")).where("path is not null and text is not null")
+    cut = lambda c: F.array_remove(F.split(c, TOKEN), "")
+    lines = F.transform(F.split("text", "\n"), cut)
     vocabulary = sorted({t for _, x in templates for t in tokens(x)})
     terms = F.array(*[F.lit(t) for t in vocabulary])
-    own = F.array_intersect("words", terms)
     # one pass for the counts: a line without a term of the vocabulary still counts as a line
-    counted = lines.select(F.explode(F.array_append(own, F.lit(""))).alias("t")).groupBy("t").count().collect()
+    each = rows.select(F.explode(lines).alias("words")).where(F.size("words") > 0)
+    counted = each.select(F.explode(F.array_append(F.array_intersect("words", terms), F.lit(""))).alias("t")).groupBy("t").count().collect()
     df = {r["t"]: r["count"] for r in counted}
     weight, unseen, units = _weights(templates, df, df.get("", 0))
-    heavy = heavy_terms(units, threshold)
-    near = lines.where(F.arrays_overlap("words", F.array(*[F.lit(t) for t in heavy])))
-    known = F.filter("words", lambda w: F.array_contains(terms, w))
-    near = near.select("path", "line", F.size(F.array_except("words", terms)).alias("other"), F.explode(known).alias("t"))
+    heavy = F.array(*[F.lit(t) for t in heavy_terms(units, weight, threshold)])
+
+    # a generator's row is computed once; the optimiser would write the lines out again wherever they are used
+    near = rows.select("path", F.monotonically_increasing_id().alias("row"), F.explode(F.array(F.struct("text", lines.alias("lines")))).alias("x"))
+    near = near.select("path", "row", "x.text", "x.lines").where(F.exists("lines", lambda x: F.arrays_overlap(x, heavy)))
+    unit = lambda kind, at, words: F.struct(F.lit(kind).alias("kind"), at.cast("int").alias("at"), words.alias("words"))
+    none = F.array().cast("array<string>")
+
+    def run_of(n: int) -> Column:
+        """Units of n lines, without words where a line has none."""
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("lines") - (n - 1)))
+        run = F.transform(starts, lambda i: F.slice("lines", i, n))
+        return F.transform(run, lambda x, i: unit(n, i, F.when((F.size(x) == n) & F.forall(x, lambda y: F.size(y) > 0), F.flatten(x)).otherwise(none)))
+
+    found = [run_of(n) for n in range(1, LINES + 1)]
+    blocks = F.filter(F.transform(F.split("text", BLANK), cut), lambda x: F.size(x) > 0)
+    found.append(F.transform(blocks, lambda x, i: unit(PARAGRAPH, i, x)))
+    found.append(F.array(unit(FILE, F.lit(0), F.flatten("lines"))))
+    near = near.select("path", "row", F.explode(F.filter(F.concat(*found), lambda u: F.arrays_overlap(u["words"], heavy))).alias("u"))
+    key = ["path", "row", "kind", "at"]
+    near = near.select("path", "row", "u.kind", "u.at", F.explode("u.words").alias("t"))
     spark = files.sparkSession
     # bounded by the templates: a weight for each term and template
     values = spark.createDataFrame([(t, weight[t], [u.get(t, 0.0) for u in units]) for t in vocabulary], "t string, w double, u array<double>")
-    by_term = near.groupBy("path", "line", "other", "t").count().join(F.broadcast(values), "t")
-    x = F.col("count") * F.col("w")
-    dots = [F.sum(x * F.col("u")[i]).alias(f"d{i}") for i in range(len(units))]
-    by_line = by_term.groupBy("path", "line", "other").agg(F.sum(x * x).alias("norm"), *dots)
-    length = F.sqrt(F.col("norm") + F.col("other") * (unseen * unseen))
-    best = F.greatest(*[F.struct((F.col(f"d{i}") / length).alias("similarity"), F.lit(-i).alias("i")) for i in range(len(units))])
-    found = by_line.withColumn("best", best).where(F.col("best.similarity") >= threshold)
-    top = found.groupBy("path").agg(F.max(F.struct(F.col("best.similarity").alias("similarity"), (-F.col("line")).alias("line"), F.col("best.i").alias("i"))).alias("b"))
+    by_term = near.groupBy(*key, "t").count().join(F.broadcast(values), "t", "left")
+    x = F.col("count") * F.coalesce("w", F.lit(unseen))
+    dots = [F.sum(F.when(F.col("w").isNotNull(), x * F.col("u")[i]).otherwise(0.0)).alias(f"d{i}") for i in range(len(units))]
+    by_unit = by_term.groupBy(*key).agg(F.sum(x * x).alias("norm"), *dots)
+    length = F.sqrt("norm")
+    best = F.greatest(*[F.struct(F.round(F.col(f"d{i}") / length, 12).alias("similarity"), F.lit(-i).alias("i")) for i in range(len(units))])
+    stated = by_unit.withColumn("best", best).where(F.col("best.similarity") >= threshold)
+    top = stated.groupBy("path").agg(F.max(F.struct(F.col("best.similarity").alias("similarity"), (-F.col("kind")).alias("kind"), (-F.col("at")).alias("at"), F.col("best.i").alias("i"))).alias("b"))
     names = F.array(*[F.lit(x) for x, _ in templates])
-    return top.select("path", F.element_at(names, 1 - F.col("b.i")).alias("license"), F.round("b.similarity", 6).alias("similarity"), (-F.col("b.line")).alias("line"))
+    return top.select("path", F.element_at(names, 1 - F.col("b.i")).alias("license"), F.round("b.similarity", 6).alias("similarity"), (-F.col("b.kind")).alias("kind"), (-F.col("b.at")).alias("at"))
 
 
 def ancestors(path: Column) -> Column:
@@ -117,7 +172,7 @@ def license_scan(files: DataFrame, path: Column, text: Column, is_notice: Column
 
     basis is `header` for a licence stated in the file, `directory` for one
     inherited from the nearest directory above that has a notice (from_dir), or
-    `none`. is_notice is a column over path, license and line that marks the
+    `none`. is_notice is a column over path, license, kind and at that marks the
     files whose licence holds for their directory: licence files by name, unless
     given. Of several notices in one directory the most similar counts, then the
     smallest path. Null paths are ignored; null and empty texts have no header;

@@ -15,11 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths are source/thousand/doc_id; a licence, other than a mere reservation of rights, that a document states is a notice for its directory."""
-    from .licenses import license_scan
+    """Paths are source/thousand/doc_id; a document that is as a whole a licence statement, other than a mere reservation of rights, is a notice for its directory."""
+    from .licenses import FILE, license_scan
 
     path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string"))
-    return license_scan(table(spark, sf_dir, "documents"), path, F.col("text"), is_notice=F.col("license") != "Proprietary")
+    return license_scan(table(spark, sf_dir, "documents"), path, F.col("text"), is_notice=(F.col("license") != "Proprietary") & (F.col("kind") == FILE))
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,38 +169,47 @@ FROM y
 
 
 def _license_sql() -> str:
-    from .licenses import TEMPLATES, THRESHOLD
+    from .licenses import FILE, LINES, PARAGRAPH, TEMPLATES, THRESHOLD
 
     rows = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))
     words = lambda c: f"list_filter(regexp_split_to_array({c}, '[^0-9a-z]+'), lambda x: x <> '')"
+    runs = " UNION ALL ".join(
+        f"SELECT path, {n} AS kind, i - 1 AS pos, flatten(list_slice(l, i, i + {n - 1})) AS w FROM (SELECT path, l, unnest(range(1, len(l) - {n - 2})) AS i FROM files WHERE len(l) >= {n}) WHERE len(list_filter(list_slice(l, i, i + {n - 1}), lambda x: len(x) = 0)) = 0"
+        for n in range(1, LINES + 1)
+    )
     return f"""
 WITH tpl(i, license, txt) AS (VALUES {rows}),
 tw AS (SELECT i, t, count(*) AS c FROM (SELECT i, unnest({words('lower(txt)')}) AS t FROM tpl) GROUP BY ALL),
 vocab AS (SELECT DISTINCT t FROM tw),
-files AS (SELECT concat_ws('/', source, CAST(CAST(floor(doc_id / 1000) AS BIGINT) AS VARCHAR), CAST(doc_id AS VARCHAR)) AS path, text FROM documents),
-raw AS (SELECT path, unnest(string_split(lower(text), chr(10))) AS x, generate_subscripts(string_split(lower(text), chr(10)), 1) - 1 AS line FROM files),
-lines AS (SELECT path, line, {words('x')} AS w FROM raw WHERE len({words('x')}) > 0),
-total AS (SELECT count(*) AS n FROM lines),
-counts AS (SELECT path, line, t, count(*) AS c FROM (SELECT path, line, unnest(w) AS t FROM lines) GROUP BY ALL),
-df AS (SELECT t, count(*) AS n FROM counts SEMI JOIN vocab USING (t) GROUP BY t),
+docs AS (SELECT concat_ws('/', source, CAST(CAST(floor(doc_id / 1000) AS BIGINT) AS VARCHAR), CAST(doc_id AS VARCHAR)) AS path, lower(text) AS x FROM documents),
+files AS (SELECT path, x, list_transform(string_split(x, chr(10)), lambda y: {words('y')}) AS l FROM docs),
+lines AS (SELECT path, unnest(l) AS w FROM files),
+total AS (SELECT count(*) AS n FROM lines WHERE len(w) > 0),
+df AS (SELECT t, count(*) AS n FROM (SELECT unnest(list_distinct(w)) AS t FROM lines) SEMI JOIN vocab USING (t) GROUP BY t),
+units AS (
+  {runs}
+  UNION ALL SELECT path, {PARAGRAPH}, pos - 1, b[pos] FROM (SELECT path, b, unnest(range(1, len(b) + 1)) AS pos FROM (SELECT path, list_filter(list_transform(regexp_split_to_array(x, '\n[^0-9a-z\n]*\n'), lambda y: {words('y')}), lambda y: len(y) > 0) AS b FROM files))
+  UNION ALL SELECT path, {FILE}, 0, flatten(l) FROM files WHERE len(flatten(l)) > 0
+),
+counts AS (SELECT path, kind, pos, t, count(*) AS c FROM (SELECT path, kind, pos, unnest(w) AS t FROM units) GROUP BY ALL),
 idf AS (SELECT t, ln((total.n + 1) / (coalesce(df.n, 0) + 1)) + 1 AS w FROM vocab LEFT JOIN df USING (t), total),
-units AS (SELECT i, t, c * w / sqrt(sum((c * w) ** 2) OVER (PARTITION BY i)) AS u FROM tw JOIN idf USING (t)),
+vectors AS (SELECT i, t, c * w / sqrt(sum((c * w) ** 2) OVER (PARTITION BY i)) AS u FROM tw JOIN idf USING (t)),
 norms AS (
-  SELECT path, line, sqrt(sum(CASE WHEN idf.w IS NOT NULL THEN (c * idf.w) ** 2 ELSE (ln(total.n + 1) + 1) ** 2 END)) AS norm
-  FROM counts LEFT JOIN idf USING (t), total GROUP BY path, line
+  SELECT path, kind, pos, sqrt(sum((c * coalesce(idf.w, ln(total.n + 1) + 1)) ** 2)) AS norm
+  FROM counts LEFT JOIN idf USING (t), total GROUP BY path, kind, pos
 ),
 sims AS (
-  SELECT path, line, i, sum(c * w * u) / any_value(norm) AS s FROM counts JOIN idf USING (t) JOIN units USING (t) JOIN norms USING (path, line) GROUP BY path, line, i
+  SELECT path, kind, pos, i, sum(c * w * u) / any_value(norm) AS s FROM counts JOIN idf USING (t) JOIN vectors USING (t) JOIN norms USING (path, kind, pos) GROUP BY path, kind, pos, i
 ),
 best AS (
-  SELECT path, line, i, s FROM sims WHERE s >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY path ORDER BY round(s, 12) DESC, line, i) = 1
+  SELECT path, kind, i, s FROM sims WHERE s >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY path ORDER BY round(s, 12) DESC, kind, pos, i) = 1
 ),
-headers AS (SELECT path, license, round(s, 6) AS similarity FROM best JOIN tpl USING (i)),
-dirs AS (SELECT path, string_split(path, '/') AS parts FROM (SELECT DISTINCT path FROM files)),
+headers AS (SELECT path, license, kind, round(s, 6) AS similarity FROM best JOIN tpl USING (i)),
+dirs AS (SELECT path, string_split(path, '/') AS parts FROM (SELECT DISTINCT path FROM docs)),
 ups AS (SELECT path, unnest(range(1, len(parts) + 1)) AS up, parts FROM dirs),
 above AS (SELECT path, up, array_to_string(list_slice(parts, 1, len(parts) - up), '/') AS dir FROM ups),
 notices AS (
-  SELECT dir, license AS notice FROM headers JOIN above USING (path) WHERE up = 1 AND license <> 'Proprietary'
+  SELECT dir, license AS notice FROM headers JOIN above USING (path) WHERE up = 1 AND license <> 'Proprietary' AND kind = {FILE}
   QUALIFY row_number() OVER (PARTITION BY dir ORDER BY similarity DESC, path) = 1
 ),
 near AS (
