@@ -81,6 +81,11 @@ def mouth_box(landmarks: Column, pad: int = 5) -> tuple[Column, ...]:
     )
 
 
+def mouth_inside(landmarks: Column, width: Column | int, height: Column | int) -> Column:
+    """Whether the last three of five landmarks lie in the image; null landmarks give null."""
+    return F.forall(F.slice(landmarks, 3, 3), lambda p: (p["x"] >= 0) & (p["x"] < width) & (p["y"] >= 0) & (p["y"] < height))
+
+
 def mouth_midpoint(landmarks: Column) -> tuple[Column, ...]:
     """Mean of the two mouth corners, truncated."""
     return tuple(((landmarks[3][k] + landmarks[4][k]) / 2).cast("int") for k in "xy")

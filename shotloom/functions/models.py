@@ -101,3 +101,41 @@ def warp(image: np.ndarray, matrix: np.ndarray, size: tuple[int, int]) -> np.nda
 
 def crop(image: np.ndarray, x1: int, y1: int, x2: int, y2: int) -> np.ndarray:
     return image[max(0, y1) : max(0, y2), max(0, x1) : max(0, x2)]
+
+
+CROPS = "id long, w int, h int, img binary, error string"
+
+
+def _crops(rows: DataFrame, columns: list[str], make: Callable) -> DataFrame:
+    """id and what make(image, other columns) cuts from each row's image, or why it can't."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for key, w, h, img, *rest in zip(*(b.column(c).to_pylist() for c in ("id", "w", "h", "img", *columns))):
+                try:
+                    got = make(np.frombuffer(img, np.uint8).reshape(h, w, 3), *rest)
+                    out.append((key, got.shape[1], got.shape[0], np.ascontiguousarray(got).tobytes(), None))
+                except Exception as e:  # noqa: BLE001  a face that can't be cut doesn't end the scan
+                    out.append((key, None, None, None, f"{type(e).__name__}: {e}"))
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 5, kinds)], ["id", "w", "h", "img", "error"])
+
+    return rows.select("id", "w", "h", "img", *columns).mapInArrow(run, CROPS)
+
+
+def aligned(faces: DataFrame, size: int = 112) -> DataFrame:
+    """faces (id, w, h, img, landmarks) -> (id, w, h, img, error): each face turned, scaled and moved onto the template."""
+    return _crops(faces, ["landmarks"], lambda image, marks: warp(image, similarity_transform([(p["x"], p["y"]) for p in marks], TEMPLATE * (size / 112)), (size, size)))
+
+
+def cropped(faces: DataFrame) -> DataFrame:
+    """faces (id, w, h, img, x1, y1, x2, y2) -> (id, w, h, img, error): the pixels inside each box; an empty crop is an error."""
+
+    def cut(image, *box):
+        got = crop(image, *box)
+        if not got.size:
+            raise ValueError("the box lies outside the image")
+        return got
+
+    return _crops(faces, ["x1", "y1", "x2", "y2"], cut)

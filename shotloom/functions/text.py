@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,11 +60,20 @@ def middle_frame(first: Column, last: Column) -> Column:
     return F.floor((first + last) / 2).cast("int")
 
 
-def round_exact(digits: int):
-    """A UDF that rounds by the double's exact value, ties to even; F.round rounds its decimal form, half up."""
-
-    @F.pandas_udf("double")
-    def rounded(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: v if pd.isna(v) else round(v, digits))
-
-    return rounded
+def rounded(x: Column, digits: int) -> Column:
+    """x rounded by the double's exact value, ties to even; F.round rounds its decimal form, half up.
+
+    The exact value of a double needs more digits than a decimal has only far
+    from the cut; the nearest two results are compared in exact decimals around it.
+    """
+    scale = 10**digits
+    scaled = x.cast("double") * float(scale)
+    low = F.floor(scaled)
+    # x * scale - low - 1/2 without the rounding of the product: its sign by Dekker's splitting of x
+    split = x.cast("double") * 134217729.0
+    high = split - (split - x.cast("double"))
+    rest = ((high * float(scale) - scaled) + (x.cast("double") - high) * float(scale))
+    part = scaled - low.cast("double") - 0.5
+    up = (part + rest > 0) | ((part + rest == 0) & (F.pmod(low, F.lit(2)) == 1))
+    small = F.abs(scaled) < float(1 << 50)
+    return F.when(small, (low + up.cast("long")).cast("double") / float(scale)).otherwise(x.cast("double"))

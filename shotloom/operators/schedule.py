@@ -79,3 +79,32 @@ def frame_face_schedule(frames: DataFrame, interval: int, dedupe: bool = False)
 
     own = frames.select(F.col("shot_id").cast("long"), F.col("frame_idx").cast("int"), F.col("detected").cast("int"), "tracked_ok")
     return scan_sorted(own, ["shot_id"], ["frame_idx"], step, OUT)
+
+
+def mouth_schedule(frames: DataFrame, interval: int) -> DataFrame:
+    """frames (shot_id, frame_idx, detected, drawn, tracked_ok) -> the schedule of a renderer that draws faces and mouths.
+
+    A frame is detected if the one before had no face, and every interval-th.
+    Otherwise trackers are counted; if one is lost the frame is detected as a
+    fallback, whose drawn faces (`drawn`, of the boxes in `detected`) replace the
+    count, unless it finds none. tracked_ok as in frame_face_schedule().
+    """
+    boolean = dict(frames.dtypes)["tracked_ok"] == "boolean"
+
+    def step(rows):
+        before, trackers = 0, 0
+        for shot, frame, detected, drawn, kept in rows:
+            kept = trackers if boolean and kept else 0 if boolean or kept is None else min(kept, trackers)
+            if not before or frame % interval == 0:
+                action, faces = "detected", (drawn or 0) if detected else 0
+            elif kept == trackers:
+                action, faces = "tracked", kept
+            else:
+                action, faces = "fallback", (drawn or 0) if detected else kept
+            if action != "tracked":
+                trackers = detected or trackers
+            before = faces
+            yield shot, frame, action, faces, False
+
+    own = frames.select(F.col("shot_id").cast("long"), F.col("frame_idx").cast("int"), F.col("detected").cast("int"), F.col("drawn").cast("int"), "tracked_ok")
+    return scan_sorted(own, ["shot_id"], ["frame_idx"], step, OUT)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import middle_frame
@@ -87,10 +88,24 @@ def face_count_errors(shots: DataFrame, key: str) -> DataFrame:
     return _found(bad, key, "face_count", "shot_number", F.concat(F.lit("shot "), F.coalesce(F.col("shot_number").cast("string"), F.lit("None")), F.lit(": "), F.col("_m")))
 
 
-#: The structure of a shots document: field -> (type, required, lower bound, upper bound), by level.
-SHOT = {"shot_number": ("integer", True, 1, None), "first_frame": ("integer", True, 0, None), "last_frame": ("integer", True, 0, None), "detected_faces": ("object", True, None, None), "detected_graphics": ("object", False, None, None)}
-FACES = {"face_count": ("integer", True, 0, None), "face_details": ("array", False, None, None)}
-FACE = {"face_label": ("string", False, None, None)} | {k: ("number", True, 0, 100) for k in ("center_x", "center_y", "face_width", "face_height")}
+#: The structure of a shots document, as a JSON schema; titles name the levels in messages. load_schema() reads another from a file.
+_PERCENT = {"type": "number", "minimum": 0, "maximum": 100}
+_FRAME = {"type": "integer", "minimum": 0}
+SCHEMA = {
+    "type": "object", "required": ["shots"], "additionalProperties": False,
+    "properties": {"shots": {"type": "array", "minItems": 1, "items": {
+        "title": "shot", "type": "object", "required": ["shot_number", "first_frame", "last_frame", "detected_faces"], "additionalProperties": False,
+        "properties": {
+            "shot_number": {"type": "integer", "minimum": 1}, "first_frame": _FRAME, "last_frame": _FRAME,
+            "detected_faces": {"type": "object", "title": "detected_faces", "required": ["face_count"], "properties": {
+                "face_count": {"type": "integer", "minimum": 0},
+                "face_details": {"type": "array", "items": {"title": "face", "type": "object", "required": ["center_x", "center_y", "face_width", "face_height"], "properties": {
+                    "face_label": {"type": "string"}, "center_x": _PERCENT, "center_y": _PERCENT, "face_width": _PERCENT, "face_height": _PERCENT}}},
+            }},
+            "detected_graphics": {"type": "object", "maxProperties": 0},
+        },
+    }}},
+}
 _KINDS = {"integer": r"^(TINYINT|SMALLINT|INT|BIGINT)$", "number": r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$", "string": "^STRING$", "object": "^OBJECT", "array": "^ARRAY"}
 
 
@@ -100,44 +115,61 @@ def _kind(value: Column) -> Column:
     return F.when(name.rlike(r"^DECIMAL\(\d+,0\)$"), "BIGINT").otherwise(name)
 
 
-def _checks(value: Column, where: str, rules: dict, closed: bool) -> list[Column]:
-    """Messages of one object: wrong type, missing or unknown fields, types and bounds; nulls where all is well."""
+def load_schema(spark: SparkSession, path: str) -> dict:
+    """A JSON schema file, read through Spark."""
+    return json.loads(spark.read.text(path, wholetext=True).head()[0])
+
+
+def _checks(value: Column, where: str, rules: dict) -> list[Column]:
+    """Messages of one object: wrong type, missing or unknown fields, types, bounds and sizes of its fields; nulls where all is well."""
     is_object = _kind(value).rlike(_KINDS["object"])
     out = [F.when(~is_object, F.lit(f"{where}: is not of type 'object'"))]
-    if closed:
-        known = F.array(*map(F.lit, rules))
-        extra = F.array_except(F.map_keys(F.try_variant_get(value, "$", "map<string,variant>")), known)
+    fields = rules.get("properties", {})
+    if rules.get("additionalProperties") is False:
+        extra = F.array_except(F.map_keys(F.try_variant_get(value, "$", "map<string,variant>")), F.array(*map(F.lit, fields)) if fields else F.array().cast("array<string>"))
         out.append(F.when(is_object & (F.size(extra) > 0), F.concat(F.lit(f"{where}: additional properties are not allowed: "), F.array_join(F.sort_array(extra), ", "))))
-    for name, (kind, required, low, high) in rules.items():
+    for name in [*fields, *(n for n in rules.get("required", ()) if n not in fields)]:
+        rule = fields.get(name, {})
         v = F.try_variant_get(value, f"$.{name}", "variant")
-        if required:
+        if name in rules.get("required", ()):
             out.append(F.when(is_object & v.isNull(), F.lit(f"{where}: '{name}' is a required property")))
-        fits = _kind(v).rlike(_KINDS[kind])
-        out.append(F.when(v.isNotNull() & ~fits, F.lit(f"{where}.{name}: is not of type '{kind}'")))
+        fits = F.lit(True)
+        if rule.get("type") in _KINDS:
+            fits = _kind(v).rlike(_KINDS[rule["type"]])
+            out.append(F.when(v.isNotNull() & ~fits, F.lit(f"{where}.{name}: is not of type '{rule['type']}'")))
         number = F.try_variant_get(v, "$", "double")
-        if low is not None:
-            out.append(F.when(fits & (number < low), F.lit(f"{where}.{name}: is less than the minimum of {low}")))
-        if high is not None:
-            out.append(F.when(fits & (number > high), F.lit(f"{where}.{name}: is greater than the maximum of {high}")))
+        if "minimum" in rule:
+            out.append(F.when(fits & (number < rule["minimum"]), F.lit(f"{where}.{name}: is less than the minimum of {rule['minimum']}")))
+        if "maximum" in rule:
+            out.append(F.when(fits & (number > rule["maximum"]), F.lit(f"{where}.{name}: is greater than the maximum of {rule['maximum']}")))
+        if "minItems" in rule:
+            too_few = "should be non-empty" if rule["minItems"] == 1 else f"has fewer than {rule['minItems']} items"
+            out.append(F.when(F.size(F.try_variant_get(v, "$", "array<variant>")) < rule["minItems"], F.lit(f"{where}.{name}: {too_few}")))
+        if "maxProperties" in rule:
+            out.append(F.when(F.size(F.try_variant_get(v, "$", "map<string,variant>")) > rule["maxProperties"], F.lit(f"{where}.{name}: has too many properties")))
     return out
 
 
-def schema_errors(documents: DataFrame, key: str, text: str = "document") -> DataFrame:
-    """(key, rule, shot_number, message) of structural faults of shots documents given as JSON text."""
-    doc = F.try_parse_json(text)
-    rows = documents.select(key, doc.alias("_d"))
-    top = _checks(F.col("_d"), "$", {"shots": ("array", True, None, None)}, True)
-    shots = F.try_variant_get("_d", "$.shots", "array<variant>")
-    top += [F.when(F.col("_d").isNull(), F.lit("$: is not JSON")), F.when(F.size(shots) == 0, F.lit("$.shots: should be non-empty"))]
-    report = lambda df, checks: df.select(key, F.col("shot_number") if "shot_number" in df.columns else F.lit(None).cast("int").alias("shot_number"), F.explode(F.filter(F.array(*checks), lambda m: m.isNotNull())).alias("message"))
-    each = rows.select(key, F.posexplode(shots).alias("_i", "_s")).select(key, (F.col("_i") + 1).alias("shot_number"), "_s")
-    graphics = F.try_variant_get("_s", "$.detected_graphics", "map<string,variant>")
-    faces = each.select(key, "shot_number", F.try_variant_get("_s", "$.detected_faces", "variant").alias("_f")).where("_f is not null")
-    face = faces.select(key, "shot_number", F.explode(F.try_variant_get("_f", "$.face_details", "array<variant>")).alias("_x"))
-    parts = [
-        report(rows, top),
-        report(each, [*_checks(F.col("_s"), "shot", SHOT, True), F.when(F.size(graphics) > 0, F.lit("shot.detected_graphics: has too many properties"))]),
-        report(faces, _checks(F.col("_f"), "detected_faces", FACES, False)),
-        report(face, _checks(F.col("_x"), "face", FACE, False)),
-    ]
-    return reduce(DataFrame.unionByName, parts).select(key, F.lit("schema").alias("rule"), "shot_number", "message")
+def schema_errors(documents: DataFrame, key: str, text: str = "document", schema: dict = SCHEMA) -> DataFrame:
+    """(key, rule, shot_number, message) of structural faults of documents given as JSON text.
+
+    Of JSON schemas these keywords count: type, required, properties,
+    additionalProperties (false), items, minimum, maximum, minItems and
+    maxProperties. shot_number is the place in the outermost array, from 1.
+    """
+    rows = documents.select(key, F.try_parse_json(text).alias("_v"), F.lit(None).cast("int").alias("shot_number"))
+    found: list[DataFrame] = []
+
+    def visit(level: DataFrame, where: str, rules: dict, more: list[Column] = ()) -> None:
+        checks = F.array(*_checks(F.col("_v"), where, rules), *more)
+        found.append(level.select(key, "shot_number", F.explode(F.filter(checks, lambda m: m.isNotNull())).alias("message")))
+        for name, rule in rules.get("properties", {}).items():
+            inner = F.try_variant_get("_v", f"$.{name}", "variant")
+            if rule.get("type") == "object" and ("properties" in rule or "required" in rule):
+                visit(level.select(key, "shot_number", inner.alias("_v")).where("_v is not null"), rule.get("title", f"{where}.{name}"), rule)
+            elif rule.get("type") == "array" and rule.get("items", {}).get("type") == "object":
+                each = level.select(key, "shot_number", F.posexplode(F.try_variant_get("_v", f"$.{name}", "array<variant>")).alias("_i", "_v"))
+                visit(each.select(key, F.coalesce("shot_number", F.col("_i") + 1).alias("shot_number"), "_v"), rule["items"].get("title", f"{where}.{name}"), rule["items"])
+
+    visit(rows, "$", schema, [F.when(F.col("_v").isNull(), F.lit("$: is not JSON"))])
+    return reduce(DataFrame.unionByName, found).select(key, F.lit("schema").alias("rule"), "shot_number", "message")

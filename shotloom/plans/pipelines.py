@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions.text import rounded
 from ..functions.vectors import mean_vectors
-from ..operators import identity, overlay, shots, tracking
+from ..operators import identity, overlay, render, shots, tracking
 from ..sources import documents
 from .scratch import stored
 
@@ -40,7 +41,7 @@ def shot_features(frames: DataFrame, key: str, order: list[str], feature: str, t
     cut = shots.segments(frames, key, order, feature, threshold)
     last = cut.groupBy(key).agg(F.max("shot_number").alias("_last")).join(totals, key)
     cut = shots.repaired(cut.join(last, key), F.col("n_frames").cast("int"), F.col("shot_number") == F.col("_last"))
-    percent = {n: F.round(c, 2).alias(n) for n, c in G.normalized(G.box(), width, height).items()}
+    percent = {n: rounded(c, 2).alias(n) for n, c in G.normalized(G.box(), width, height).items()}
     found = shots.middle_frames(cut, faces, key).groupBy(key, "shot_number").agg(
         F.sort_array(F.collect_list(F.struct("face_ord", F.struct(F.lit("").alias("face_label"), *percent.values()).alias("f")))).alias("_f")
     )
@@ -66,9 +67,18 @@ def annotated_frames(frames: DataFrame, shot_rows: DataFrame, key: str) -> DataF
     return frames.join(marks, [key, "frame_idx"], "left").join(details, [key, "shot_number"], "left")
 
 
-def validate(documents_: DataFrame, key: str, totals: DataFrame | None = None) -> DataFrame:
+def shot_drawing(frames: DataFrame, shot_rows: DataFrame, key: str, width: int, height: int) -> DataFrame:
+    """Draw rows of every frame: the number of its shot, and the boxes of the shot's faces."""
+    marked = annotated_frames(frames, shot_rows, key)
+    faces = marked.select(key, "frame_idx", F.posexplode("face_details").alias("obs_ord", "f"))
+    box = G.denormalized(*[F.col(f"f.{c}") for c in ("center_x", "center_y", "face_width", "face_height")], width, height)
+    faces = faces.select(key, "frame_idx", "obs_ord", F.coalesce("f.face_label", F.lit("")).alias("label"), *[c.alias(n) for c, n in zip(box, G.SIDES)])
+    return render.shot_labels(marked, key).unionByName(render.draw_commands(faces, key, F.col("label")))
+
+
+def validate(documents_: DataFrame, key: str, totals: DataFrame | None = None, schema: dict = shots.SCHEMA) -> DataFrame:
     """(key, rule, shot_number, message): structural faults first, then the rules on shots that can be read."""
-    found = shots.schema_errors(documents_, key)
+    found = shots.schema_errors(documents_, key, schema=schema)
     readable = documents_.join(found.where("message = '$: is not JSON'").select(key), key, "left_anti")
     rows = documents.shots(readable, key)
     parts = [shots.number_errors(rows, key, "pos"), shots.contiguity_errors(rows, key, "pos"), shots.face_count_errors(rows, key)]

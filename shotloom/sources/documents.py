@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import rounded
 from . import schemas as S
 
 STRICT = {"mode": "FAILFAST"}
@@ -104,7 +105,7 @@ def frame_faces(documents: DataFrame, key: str, text: str = "document") -> DataF
 
 def frame_faces_document(faces: DataFrame, frames: DataFrame, key: str) -> DataFrame:
     """(key, document): an entry for every frame, empty where it has no face. faces has face_ord, x, y, w, h, conf, source."""
-    listed = faces.groupBy(key, "frame_idx").agg(_joined(F.to_json(F.struct("x", "y", "w", "h", F.round("conf", 3).alias("conf"), "source")), "face_ord", "[", "]").alias("_f"))
+    listed = faces.groupBy(key, "frame_idx").agg(_joined(F.to_json(F.struct("x", "y", "w", "h", rounded(F.col("conf"), 3).alias("conf"), "source")), "face_ord", "[", "]").alias("_f"))
     rows = frames.select(key, "frame_idx").join(listed, [key, "frame_idx"], "left")
     entry = F.concat(F.lit('{"frame":'), F.col("frame_idx").cast("string"), F.lit(',"faces":'), F.coalesce("_f", F.lit("[]")), F.lit("}"))
     return rows.groupBy(key).agg(_joined(entry, "frame_idx", "[", "]").alias("document"))

@@ -118,8 +118,10 @@ def test_text(spark):
     for bad in ("1,2", "1,2,300", "a,b,c"):
         with pytest.raises(Exception, match="colour"):
             spark.createDataFrame([(bad,)], "c string").select(text.parse_bgr(F.col("c"))).collect()
-    rounded = spark.createDataFrame([(1.005,), (2.675,), (0.125,), (None,)], "x double").select(text.round_exact(2)("x")).collect()
-    assert [r[0] for r in rounded] == [1.0, 2.67, 0.12, None]
+    rng = np.random.default_rng(3)
+    numbers = [1.005, 2.675, 0.125, 0.375, -0.125, -1.005, 1e300, 0.0, *(rng.integers(-10**6, 10**6, 2000) / 2000).tolist(), *rng.normal(size=2000).tolist()]
+    rounded = spark.createDataFrame([(x,) for x in [*numbers, None]], "x double").select("x", text.rounded(F.col("x"), 2), text.rounded(F.col("x"), 3)).collect()
+    assert all((r[1], r[2]) == (None, None) if r[0] is None else (r[1], r[2]) == (round(r[0], 2), round(r[0], 3)) for r in rounded)
     assert spark.range(1).select(text.middle_frame(F.lit(-3), F.lit(-4))).head()[0] == -4
 
 
