@@ -13,15 +13,8 @@ from ..plans.groups import scan_sorted
 from ..plans.scratch import numbered, stored
 from .graph import connected_components
 
-#: Vectors in a block of the all-pairs comparison.
-BLOCK = 2048
-
-
-def _unit(v):
-    if v is None:
-        return None
-    x = np.asarray(v, np.float64)
-    return x / np.linalg.norm(x)
+#: Vectors in a block of the all-pairs comparison; sampled vectors around which they are dealt, at most.
+BLOCK, PIVOTS = 2048, 256
 
 
 def local_ids(tracks: DataFrame, threshold: float = 0.6, start: int = 0) -> DataFrame:
@@ -37,35 +30,38 @@ def local_ids(tracks: DataFrame, threshold: float = 0.6, start: int = 0) -> Data
 
     def step(rows):
         rows = [list(r) for r in rows]
-        unit = [_unit(r[4]) for r in rows]
-        apart = lambda i, j: rows[i][3] < rows[j][2] or rows[j][3] < rows[i][2]
-        likeness = lambda i, j: float(unit[i] @ unit[j])
-        named = [i for i, r in enumerate(rows) if r[5] is not None]
-        left = []
-        for i, r in enumerate(rows):
-            if r[5] is not None:
-                continue
-            best, most = None, -1.0
-            if unit[i] is not None:
-                for j in named:
-                    if unit[j] is not None and apart(i, j):
-                        s = likeness(i, j)
-                        if s >= threshold and s > most:
-                            best, most = j, s
-            if best is None:
-                left.append(i)
+        first, last = (np.array([r[k] for r in rows]) for k in (2, 3))
+        given = np.array([r[4] is not None for r in rows])
+        unit = np.zeros((len(rows), max((len(r[4]) for r in rows if r[4] is not None), default=0)))
+        for i in np.flatnonzero(given):
+            unit[i, : len(rows[i][4])] = rows[i][4]
+        unit /= np.where(given, np.linalg.norm(unit, axis=1), 1)[:, None]
+        named = np.array([r[5] is not None for r in rows])
+
+        def like(i, among):
+            """Of the tracks among, in order, those similar to track i that share no frame with it, and how similar."""
+            among = among[given[among] & ((last[among] < first[i]) | (last[i] < first[among]))] if given[i] else among[:0]
+            s = unit[among] @ unit[i]
+            return among[s >= threshold], s[s >= threshold]
+
+        order, left = np.flatnonzero(named).tolist(), []
+        for i in np.flatnonzero(~named).tolist():
+            found, s = like(i, np.array(order, np.int64))
+            if len(found):
+                rows[i][5] = rows[found[s.argmax()]][5]
+                order.append(i)
             else:
-                r[5] = rows[best][5]
-                named.append(i)
-        number = start
-        for i in left:
-            if rows[i][5] is not None:
+                left.append(i)
+        number, left = start, np.array(left, np.int64)
+        free = np.ones(len(left), bool)
+        for k, i in enumerate(left.tolist()):
+            if not free[k]:
                 continue
-            rows[i][5] = number
-            if unit[i] is not None:
-                for j in left:
-                    if rows[j][5] is None and unit[j] is not None and apart(i, j) and likeness(i, j) >= threshold:
-                        rows[j][5] = number
+            free[k] = False
+            found, _ = like(i, left[free])
+            for j in [i, *found.tolist()]:
+                rows[j][5] = number
+            free[np.searchsorted(left, found)] = False
             number += 1
         yield from map(tuple, rows)
 
@@ -74,34 +70,99 @@ def local_ids(tracks: DataFrame, threshold: float = 0.6, start: int = 0) -> Data
     return scan_sorted(own, ["shot_id"], ["track_ord"], step, schema)
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, single: bool = False) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float, single: bool = False, forest: bool = False) -> DataFrame:
     """vectors (id, v) -> (a, b, similarity) for a < b with cosine >= threshold.
 
-    Vectors are dealt into blocks by a hash of their id; each pair of blocks is one
-    task's matrix product. A block goes to as many tasks as there are blocks, and
-    only pairs that reach the threshold leave a task. Null and zero vectors have
-    no pairs. single compares in single precision.
+    Vectors belong to the nearest of at most PIVOTS sampled ones. A cell's vectors
+    lie within its largest angle of the pivot, so two cells whose pivots are too far
+    apart, by the triangle inequality of angles, are never compared. Cells are cut
+    into blocks of about BLOCK; each pair of blocks left is one task's matrix
+    product, and only pairs that reach the threshold leave it - with forest, just
+    links that connect what they connect. Null and zero vectors have no pairs.
+    single compares in single precision.
     """
     rows = vectors.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).where(norm(F.col("v")) > 0)
-    blocks = max(1, -(-rows.count() // BLOCK))
-    own = rows.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    pair = lambda o: F.struct(F.least("_b", o).alias("i"), F.greatest("_b", o).alias("j"))
-    dealt = own.withColumn("_p", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), pair))).select("id", "v", "_b", "_p.i", "_p.j")
+    total = rows.count()
+    few = max(1, min(PIVOTS, -(-total // BLOCK)))
+    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(few).toArrow() if few > 1 else None
+    pivots = _unit_rows(drawn.column("v")) if drawn is not None else None
+
+    def cells(batches):
+        for b in batches:
+            cell, angle = np.zeros(b.num_rows, np.int32), np.zeros(b.num_rows)
+            if pivots is not None:
+                s = _unit_rows(b.column(1), pivots.shape[1]) @ pivots.T
+                cell = s.argmax(1).astype(np.int32)
+                angle = np.arccos(np.clip(s.max(1), -1, 1)) if len(s) else angle
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(angle)], ["id", "v", "cell", "angle"])
+
+    dealt = rows.mapInArrow(cells, "id long, v array<double>, cell int, angle double")
+    dealt = stored(dealt, "cells") if few > 1 else dealt
+    size, reach = {0: total}, {0: 0.0}
+    if few > 1:
+        for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("reach")).collect():  # at most PIVOTS rows
+            size[r["cell"]], reach[r["cell"]] = r["n"], r["reach"]
+    far = np.arccos(np.clip(threshold, -1, 1)) + 1e-6
+    blocks = {c: max(1, -(-n // BLOCK)) for c, n in size.items()}
+    apart = np.arccos(np.clip(pivots @ pivots.T, -1, 1)) if few > 1 else np.zeros((1, 1))
+    near = {c: sorted(d for d in size if c == d or apart[c, d] - reach[c] - reach[d] <= far) for c in size}
+    # for each cell, its blocks and those of the cells in reach: bounded by PIVOTS, not by the vectors
+    reachable = F.create_map(*[x for c in size for x in (F.lit(c), F.array(*[F.struct(F.lit(d).alias("cell"), F.lit(blocks[d]).alias("blocks")) for d in near[c]]))])
+    own = dealt.withColumn("_near", reachable[F.col("cell")]).withColumn("_own", F.filter("_near", lambda x: x["cell"] == F.col("cell"))[0]["blocks"])
+    own = own.withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_own").cast("long")).cast("int"))
+    mine = F.struct(F.col("cell").alias("cell"), F.col("_b").alias("b"))
+    other = F.explode(F.flatten(F.transform("_near", lambda x: F.transform(F.sequence(F.lit(0), x["blocks"] - 1), lambda k: F.struct(x["cell"].alias("cell"), k.alias("b"))))))
+    sent = own.select("id", "v", mine.alias("mine"), other.alias("other")).select("id", "v", (F.col("mine") <= F.col("other")).alias("left"), (F.col("mine") == F.col("other")).alias("same"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, b = np.asarray(table["id"]), np.asarray(table["_b"])
-        m = np.array(table["v"].to_pylist(), np.float64)
-        m /= np.linalg.norm(m, axis=1, keepdims=True)
+        ids, left, same = np.asarray(table["id"]), np.asarray(table["left"]), table["same"][0].as_py()
+        m = _unit_rows(table["v"])
         m = m.astype(np.float32) if single else m
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        left, right = np.flatnonzero(b == i), np.flatnonzero(b == j)
-        s = m[left] @ m[right].T
-        x, y = np.nonzero(s >= (np.float32(threshold) if single else threshold))
-        a, c, value = ids[left[x]], ids[right[y]], s[x, y].astype(np.float64)
-        keep = a < c if i == j else a != c
-        return pa.table({"a": np.minimum(a, c)[keep], "b": np.maximum(a, c)[keep], "similarity": value[keep]})
-
-    return dealt.groupBy("i", "j").applyInArrow(compare, "a long, b long, similarity double")
+        x, y = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(left), np.flatnonzero(~left))
+        s = m[x] @ m[y].T
+        i, j = np.nonzero(s >= (np.float32(threshold) if single else threshold))
+        i, j, value = x[i], y[j], s[i, j].astype(np.float64)
+        keep = ids[i] < ids[j] if same else ids[i] != ids[j]
+        i, j, value = i[keep], j[keep], value[keep]
+        if forest:
+            keep = _spanning(len(ids), i, j)
+            i, j, value = i[keep], j[keep], value[keep]
+        return pa.table({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "similarity": value})
+
+    return sent.groupBy("i", "j").applyInArrow(compare, "a long, b long, similarity double")
+
+
+def _unit_rows(column, width: int | None = None) -> np.ndarray:
+    """A list column's vectors as rows of length 1; shorter ones end in zeros."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    n = np.asarray(column.value_lengths()).astype(np.int64)
+    flat = np.asarray(column.flatten())
+    width = max(width or 0, int(n.max()) if len(n) else 0)
+    if len(flat) == len(n) * width:
+        m = flat.reshape(len(n), width)
+    else:
+        m = np.zeros((len(n), width))
+        m[np.arange(width) < n[:, None]] = flat
+    return m / np.linalg.norm(m, axis=1, keepdims=True) if len(m) else m
+
+
+def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Which of the links a spanning forest keeps."""
+    root = list(range(n))
+
+    def top(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    kept = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = top(x), top(y)
+        if x != y:
+            root[x] = y
+            kept.append(k)
+    return kept
 
 
 def global_ids(vectors: DataFrame, threshold: float = 0.7, start: int = 0, single: bool = False) -> DataFrame:
@@ -111,7 +172,7 @@ def global_ids(vectors: DataFrame, threshold: float = 0.7, start: int = 0, singl
     in order of id.
     """
     rows = vectors.select(F.col("id").cast("long").alias("id"), "v")
-    linked = stored(connected_components(similar_pairs(rows, threshold, single).select(F.col("a").alias("u"), F.col("b").alias("v"))), "linked")
+    linked = stored(connected_components(similar_pairs(rows, threshold, single, forest=True).select(F.col("a").alias("u"), F.col("b").alias("v"))), "linked")
     has = F.coalesce(norm(F.col("v").cast("array<double>")) > 0, F.lit(False))
     roots = rows.select("id", has.alias("has")).join(linked, F.col("id") == F.col("node"), "left").select("id", F.struct((~F.col("has")).alias("none"), F.coalesce("root", "id").alias("root")).alias("of"))
     return roots.join(numbered(roots, "of", "global_id", start), "of").select("id", "global_id")

@@ -1,6 +1,7 @@
-"""Local and global identities."""
+"""Local and global identities, against plain versions on random tracks and vectors."""
 
-import math
+import numpy as np
+from pyspark.sql import functions as F
 
 from shotloom.functions.vectors import mean_vectors
 from shotloom.operators import identity
@@ -8,43 +9,123 @@ from shotloom.operators import identity
 TRACKS = "shot_id long, track_ord long, first_frame int, last_frame int, mean array<double>, local_id int"
 
 
-def local(spark, rows, threshold, start):
-    df = spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], TRACKS)
-    return [r["local_id"] for r in identity.local_ids(df, threshold, start).orderBy("track_ord").collect()]
-
-
-ones, less, minus = [1.0] * 8, [0.99] * 8, [-1.0] * 8
+def plain_local(rows, threshold, start):
+    """rows (first, last, vector or None, id or None) in order -> ids."""
+    unit = [None if r[2] is None else np.array(r[2]) / np.linalg.norm(r[2]) for r in rows]
+    ids = [r[3] for r in rows]
+    apart = lambda i, j: rows[i][1] < rows[j][0] or rows[j][1] < rows[i][0]
+    like = lambda i, j: unit[i] is not None and unit[j] is not None and apart(i, j) and float(unit[i] @ unit[j]) >= threshold
+    named = [i for i, x in enumerate(ids) if x is not None]
+    left = []
+    for i in range(len(rows)):
+        if ids[i] is None:
+            fits = [j for j in named if like(i, j)]
+            if fits:
+                ids[i] = ids[max(fits, key=lambda j: float(unit[i] @ unit[j]))]
+                named.append(i)
+            else:
+                left.append(i)
+    for i in left:
+        if ids[i] is None:
+            ids[i] = start
+            for j in left:
+                if ids[j] is None and like(i, j):
+                    ids[j] = start
+            start += 1
+    return ids
 
 
 def test_local_ids(spark):
-    assert local(spark, [(0, 1, None, None)] * 3, 0.6, 100) == [100, 101, 102]
-    assert local(spark, [(0, 1, ones, 42), (5, 6, ones, None)], 0.6, 43) == [42, 42]
-    assert local(spark, [(0, 1, ones, 42), (2, 3, less, None), (4, 5, [0.5] * 8, None)], 0.6, 43) == [42, 42, 42]
-    assert local(spark, [(0, 1, ones, 10), (2, 3, minus, None)], 0.9, 11) == [10, 11]
-    assert local(spark, [(0, 1, ones, 50), (2, 3, ones, None), (4, 5, minus, None)], 0.9, 51) == [50, 50, 51]
-    assert local(spark, [(0, 1, ones, 10), (2, 3, None, None)], 0.6, 11) == [10, 11]
-    # overlap is tested against the leader only, so members may overlap each other
-    assert local(spark, [(0, 1, ones, None), (5, 9, ones, None), (6, 8, ones, None), (1, 4, ones, None)], 0.6, 0) == [0, 0, 0, 1]
-
-
-def unit(cos):
-    return [float(cos), math.sqrt(1 - cos * cos)] + [0.0] * 30
-
-
-def ids(spark, vectors, threshold, **kw):
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "id long, v array<float>")
-    return [r["global_id"] for r in identity.global_ids(df, threshold, **kw).orderBy("id").collect()]
-
-
-def test_global_ids(spark):
-    assert ids(spark, [unit(1), unit(.99), unit(.6), unit(.61)], 0.8) == [0, 0, 1, 1]
-    assert ids(spark, [unit(1), unit(.95)], 0.95, single=True) == [0, 0]
-    assert ids(spark, [unit(1), unit(.94)], 0.95, single=True) == [0, 1]
-    assert ids(spark, [unit(1), unit(.98), unit(.70), unit(.69), unit(0)], 0.85) == [0, 0, 1, 1, 2]
-    assert ids(spark, [None, [0.0] * 32], 0.85, start=10) == [10, 11]
-    assert ids(spark, [None, unit(1), [0.0] * 32, unit(1)], 0.85, start=10) == [11, 10, 12, 10]
+    rng = np.random.default_rng(11)
+    rows, want = [], {}
+    for shot in range(60):
+        n = int(rng.integers(0, 9))
+        faces = rng.normal(size=(3, 6))
+        own = []
+        for _ in range(n):
+            a = int(rng.integers(0, 30))
+            v = None if rng.random() < 0.15 else (faces[rng.integers(0, 3)] + rng.normal(size=6) * 0.4).tolist()
+            own.append((a, a + int(rng.integers(0, 8)), v, int(rng.integers(70, 73)) if rng.random() < 0.25 else None))
+        rows += [(shot, i, *r) for i, r in enumerate(own)]
+        want |= {(shot, i): x for i, x in enumerate(plain_local(own, 0.75, 200))}
+    got = identity.local_ids(spark.createDataFrame(rows, TRACKS), 0.75, 200).collect()
+    assert {(r["shot_id"], r["track_ord"]): r["local_id"] for r in got} == want and len(set(want.values())) > 5
+
+
+def test_members_may_overlap_each_other(spark):
+    """Frames are compared with the leader's only."""
+    v = [3.0, 4.0]
+    rows = [(7, 0, 0, 2, v, None), (7, 1, 6, 12, v, None), (7, 2, 8, 9, v, None), (7, 3, 2, 3, v, None)]
+    got = identity.local_ids(spark.createDataFrame(rows, TRACKS), 0.9).orderBy("track_ord").collect()
+    assert [r["local_id"] for r in got] == [0, 0, 0, 1]
+
+
+def clustered(rng, n, width, spread):
+    centres = rng.normal(size=(12, width))
+    return [(centres[rng.integers(0, 12)] + rng.normal(size=width) * spread).tolist() for _ in range(n)]
+
+
+def test_similar_pairs_and_global_ids(spark, monkeypatch):
+    """Many blocks and pivots lose no pair; null and zero vectors come last, in order of id."""
+    rng = np.random.default_rng(5)
+    vectors = clustered(rng, 300, 10, 0.15) + [None, [0.0] * 10]
+    rng.shuffle(vectors)
+    m = np.array([v or [0.0] * 10 for v in vectors])
+    length = np.linalg.norm(m, axis=1, keepdims=True)
+    m = m / np.where(length == 0, 1, length)
+    s = m @ m.T
+    df = spark.createDataFrame(list(enumerate(vectors)), "id long, v array<double>")
+    for block, pivots in ((2048, 256), (25, 256), (40, 3)):
+        monkeypatch.setattr(identity, "BLOCK", block)
+        monkeypatch.setattr(identity, "PIVOTS", pivots)
+        got = identity.similar_pairs(df, 0.9).collect()
+        want = {(i, j) for i in range(len(m)) for j in range(i + 1, len(m)) if s[i, j] >= 0.9}
+        assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want)
+        assert all(abs(r["similarity"] - s[r["a"], r["b"]]) < 1e-12 for r in got)
+        label = list(range(len(m)))
+        for i, j in want:
+            a, b = sorted((label[i], label[j]))
+            label = [a if x == b else x for x in label]
+        usable = sorted({label[i] for i in range(len(m)) if length[i] > 0})
+        number = {x: 30 + k for k, x in enumerate(usable)} | {i: 30 + len(usable) + k for k, i in enumerate(i for i in range(len(m)) if length[i] == 0)}
+        ids = {r["id"]: r["global_id"] for r in identity.global_ids(df, 0.9, start=30).collect()}
+        assert ids == {i: number[label[i]] for i in range(len(m))}
+
+
+def test_cells_out_of_reach_are_not_compared(spark, monkeypatch):
+    """On clustered vectors few copies of a vector are sent out, against one for each block."""
+    monkeypatch.setattr(identity, "BLOCK", 20)
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame(list(enumerate(clustered(rng, 1200, 24, 0.02))), "id long, v array<double>")
+    sent = {}
+    monkeypatch.setattr(identity, "_unit_rows", identity._unit_rows)
+    found = identity.similar_pairs(df, 0.95)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan
+    near = [len(x) for x in _near(df, 0.95)]
+    sent["blocks"] = sum(near) / len(near)
+    assert sent["blocks"] < 60 / 4
+
+
+def _near(df, threshold):
+    """The cells in reach of each cell, as similar_pairs() finds them."""
+    seen = []
+    keep = identity.F.create_map
+    identity.F.create_map = lambda *a: seen.append(a) or keep(*a)
+    try:
+        identity.similar_pairs(df, threshold)
+    finally:
+        identity.F.create_map = keep
+    return [str(x).split("struct(")[1:] for x in seen[0][1::2]]
+
+
+def test_single_precision(spark):
+    a = [0.6, 0.8]
+    df = spark.createDataFrame([(0, a), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, v array<float>")
+    assert {(r["a"], r["b"]) for r in identity.similar_pairs(df, 0.6, single=True).collect()} == {(0, 1), (0, 2)}
 
 
 def test_mean_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, None), (2, None)], "k int, v array<float>")
     assert {r["k"]: r["mean"] for r in mean_vectors(df, ["k"], "v").collect()} == {1: [0.5, 0.5], 2: None}
+    assert df.where(F.col("k") == 3).count() == 0
