@@ -9,11 +9,11 @@ from ..functions import geometry as G
 from ..functions import models
 from ..functions import text as X
 from ..functions import vectors as V
-from ..operators import overlay, render, schedule, shots, tracking
-from ..sources import documents, frames
+from ..operators import overlay, render, schedule, shots, trackers, tracking
+from ..sources import documents, frames, video
 from . import pipelines
 from .fixtures import FRAMES, HEIGHT, OBSERVATIONS, TRACKS, WIDTH, all_frames, observations, table
-from .queries import CLAIMS, SEGMENTS, TURNS, _segments, _tracked, _turns, query
+from .queries import CLAIMS, SEGMENTS, TURNS, _segments, _tracked, _turns, query, shot_schedule_sql
 from .scratch import numbered
 
 
@@ -123,7 +123,7 @@ def q38_frame_face_documents(spark, sf_dir):
 def q39_embedding_documents(spark, sf_dir):
     """Vectors nested by shot, frame and track, written and read again."""
     rows = table(spark, sf_dir, "embeddings").select(
-        F.lit(1).alias("k"), F.col("label").cast("string").alias("shot_id"), (F.col("vec_id") % 5).cast("string").alias("frame_idx"), F.col("vec_id").cast("string").alias("track_id"), "embedding"
+        F.col("label").alias("k"), F.col("label").cast("string").alias("shot_id"), (F.col("vec_id") % 5).cast("string").alias("frame_idx"), F.col("vec_id").cast("string").alias("track_id"), "embedding"
     )
     back = documents.embeddings(documents.embeddings_document(rows, "k"), "k")
     return back.select("shot_id", "track_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
@@ -209,7 +209,16 @@ def _stand_in():
     return detect
 
 
-@query()
+@query(f"""WITH RECURSIVE {OBSERVATIONS}, {FRAMES}, n AS (SELECT f.shot_id, f.frame_idx, count(obs_ord) AS d, f.frame_idx % 7 <> 6 AS ok FROM frames f LEFT JOIN obs USING (shot_id, frame_idx) GROUP BY ALL),
+run AS (
+  SELECT DISTINCT shot_id, -1 AS frame_idx, '' AS action, CAST(0 AS BIGINT) AS faces, CAST(0 AS BIGINT) AS t FROM frames
+  UNION ALL
+  SELECT shot_id, frame_idx, action, CASE action WHEN 'tracked' THEN kept WHEN 'detected' THEN d ELSE kept + d END, CASE WHEN action = 'tracked' OR d = 0 THEN t ELSE d END
+  FROM (
+    SELECT *, CASE WHEN faces = 0 OR frame_idx % 10 = 0 THEN 'detected' WHEN kept = t THEN 'tracked' ELSE 'fallback' END AS action
+    FROM (SELECT n.shot_id, n.frame_idx, n.d, run.faces, run.t, CASE WHEN n.ok THEN run.t ELSE 0 END AS kept FROM run JOIN n ON n.shot_id = run.shot_id AND n.frame_idx = run.frame_idx + 1))
+)
+SELECT shot_id, frame_idx, action, CAST(faces AS INTEGER) AS n_faces FROM run WHERE frame_idx >= 0""")
 def q49_frame_face_schedule(spark, sf_dir):
     """Which frames are detected, tracked or fall back when every seventh frame loses its trackers."""
     counts = observations(spark, sf_dir).groupBy("shot_id", "frame_idx").agg(F.count("*").alias("detected"))
@@ -245,9 +254,135 @@ def q52_most_faces(spark, sf_dir):
     return render.most_faces(drawn, "shot_id", F.col("frame_idx") % 2 == 0)
 
 
-@query()
+@query(shot_schedule_sql("f.frame_idx % 7 <> 6") + " SELECT shot_id, frame_idx, action, CAST(faces AS INTEGER) AS n_faces, action = 'fallback' AS closes FROM run WHERE frame_idx >= 0")
 def q53_shot_schedule(spark, sf_dir):
     """Every frame's action by the shot schedule when every seventh frame loses its trackers: scheduled, without a face, tracked or fallback."""
     counts = observations(spark, sf_dir).groupBy("shot_id", "frame_idx").agg(F.count("*").alias("detected"))
     f = all_frames(spark, sf_dir).join(counts, ["shot_id", "frame_idx"], "left").withColumn("tracked_ok", F.col("frame_idx") % 7 != 6)
     return schedule.shot_schedule(f, 10)
+
+
+def _clip(spark):
+    """The synthetic clip written to a container of its own."""
+    frames.register(spark)
+    v = spark.read.format("shotloom_video").options(pixels="true", seconds="1", fps="10", width="64", height="36").load()
+    return video.written_y4m(v.withColumn("path", F.lit("clip.y4m")), "path", "frame_idx", 10)
+
+
+@query("""SELECT 'clip.y4m' AS path, 10.0::DOUBLE AS fps, 1 AS tb_num, 10 AS tb_den, 64 AS w, 36 AS h, 10 AS n_frames, CAST(NULL AS VARCHAR) AS error
+UNION ALL SELECT 'broken', NULL, NULL, NULL, NULL, NULL, NULL, 'ValueError: not a YUV4MPEG2 stream'""")
+def q54_container_info(spark, sf_dir):
+    broken = spark.createDataFrame([("broken", bytearray(b"no video"))], "path string, content binary")
+    return video.video_info(_clip(spark).unionByName(broken))
+
+
+@query("""SELECT CAST(range AS INTEGER) AS frame_idx, range AS pts, range / 10.0::DOUBLE AS time_sec, CASE WHEN range < 5 THEN 200 ELSE 40 END AS red FROM range(3, 8)""")
+def q55_container_frames(spark, sf_dir):
+    """Frames 3 to 7 of the container, by a seek with preroll, and the red of a corner pixel to the nearest 20."""
+    found = video.read_frames(_clip(spark), 3, 7)
+    red = F.conv(F.hex(F.substring("img", 3, 1)), 16, 10).cast("int")
+    return found.select("frame_idx", "pts", "time_sec", (F.round(red / 20) * 20).cast("int").alias("red"))
+
+
+@query("""SELECT CAST(range AS INTEGER) AS frame_idx, CASE WHEN range IN (0, 4, 8) THEN 'detected' WHEN range IN (6) THEN 'fallback' ELSE 'tracked' END AS action,
+  CASE WHEN range < 4 THEN 0 WHEN range < 6 THEN 1 WHEN range < 8 THEN 2 ELSE 3 END AS track_id, CAST(range AS INTEGER) AS x1 FROM range(10)""")
+def q56_trackers(spark, sf_dir):
+    """The trackers' plug-in point with stand-ins: a box that moves a pixel a frame, lost in frame 6, detected every fourth frame."""
+    f = spark.range(10).select(F.lit(0).cast("long").alias("shot_id"), F.col("id").cast("int").alias("frame_idx"), F.lit(1).alias("w"), F.lit(1).alias("h"), F.unhex(F.lpad(F.hex("id"), 6, "0")).alias("img"))
+    return trackers.track(f, _box_at_number, _follow_number, 4).select("frame_idx", "action", "track_id", "x1")
+
+
+def _box_at_number():
+    return lambda image: [(int(image[0, 0, 2]), 0, 5, 5)]
+
+
+def _follow_number():
+    class Follow:
+        def __init__(self, image, box):
+            pass
+
+        def update(self, image):
+            x = int(image[0, 0, 2])
+            return x != 6, (x, 0, 5, 5)
+
+    return Follow
+
+
+@query("""SELECT CAST(range AS INTEGER) AS frame_idx, 0 AS point, range * 2.0::DOUBLE AS x, range < 3 AS found FROM range(3)
+UNION ALL SELECT CAST(range AS INTEGER), 0, 4.0::DOUBLE, false FROM range(3, 5)""")
+def q57_optical_flow(spark, sf_dir):
+    """The optical flow's plug-in point with a stand-in: two pixels a frame to the right, lost from frame 3 on."""
+    f = spark.range(5).select(F.lit(0).cast("long").alias("shot_id"), F.col("id").cast("int").alias("frame_idx"), F.lit(1).alias("w"), F.lit(1).alias("h"), F.unhex(F.lpad(F.hex("id"), 6, "0")).alias("img"))
+    p = spark.createDataFrame([(0, 0, 0.0, 0.0)], "shot_id long, point int, x double, y double")
+    return trackers.flow(f, p, _two_pixels).select("frame_idx", "point", "x", "found")
+
+
+def _two_pixels():
+    return lambda before, now, points: (points + [2.0, 0.0], np.full(len(points), now[0, 0, 2] < 3))
+
+
+@query("""SELECT CAST(range AS BIGINT) AS id, CASE WHEN range < 8 THEN 112 END AS w, CASE WHEN range < 8 THEN 112 END AS h, range < 8 AS fine FROM range(10)""")
+def q58_aligned_faces(spark, sf_dir):
+    """Faces of the clip aligned by five landmarks; the last two have four."""
+    marks = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((20, 12), (40, 12), (30, 18), (22, 26), (38, 26))])
+    v = video.read_frames(_clip(spark)).select(F.col("frame_idx").cast("long").alias("id"), "w", "h", "img")
+    v = v.withColumn("landmarks", F.when(F.col("id") < 8, marks).otherwise(F.slice(marks, 1, 4)))
+    return models.aligned(v).select("id", "w", "h", F.col("error").isNull().alias("fine"))
+
+
+@query("""SELECT CAST(range AS BIGINT) AS id, CAST(CASE WHEN range < 9 THEN least(64, range * 8 + 10) - range * 8 END AS INTEGER) AS w, CASE WHEN range < 8 THEN 20 END AS h FROM range(8)
+UNION ALL SELECT CAST(range AS BIGINT), NULL, NULL FROM range(8, 10)""")
+def q59_cropped_faces(spark, sf_dir):
+    """Boxes that move to the right, cut at the image's edge; beyond it there is no crop."""
+    v = video.read_frames(_clip(spark)).select(F.col("frame_idx").cast("long").alias("id"), "w", "h", "img")
+    boxes = {"x1": F.col("id") * 8, "y1": F.lit(-3), "x2": F.col("id") * 8 + 10, "y2": F.lit(20)}
+    return models.cropped(v.withColumns({k: c.cast("int") for k, c in boxes.items()})).select("id", "w", "h")
+
+
+@query(f"""WITH {OBSERVATIONS} SELECT obs_ord, x1 + 90 < 1000 AND y1 + 30 < 270 AS inside FROM obs""")
+def q60_mouth_flags(spark, sf_dir):
+    """Whether the mouth of each face lies in an image of 1000 x 270; the eyes don't matter."""
+    points = F.array(*[F.struct((F.col("x1") + dx).alias("x"), (F.col("y1") + dy).alias("y")) for dx, dy in ((5000, 0), (-9000, 0), (60, 20), (30, 30), (90, 10))])
+    return observations(spark, sf_dir).select("obs_ord", G.mouth_inside(points, 1000, 270).alias("inside"))
+
+
+@query(f"""WITH {OBSERVATIONS} SELECT shot_id, frame_idx, 'box' AS kind, greatest(0, x1 + 25) AS x1, greatest(0, y1 + 5) AS y1, greatest(0, x1 + 25) + 70 AS x2, greatest(0, y1 + 5) + 30 AS y2, '255,255,0' AS colour, CAST(NULL AS VARCHAR) AS text FROM obs
+UNION ALL SELECT conv_id, t, 'text', 10, 30, 10, 30, CASE WHEN t IN (turn * 10, turn * 10 + 9) THEN '0,0,255' ELSE '0,255,0' END,
+  'shot ' || (turn + 1) || CASE t WHEN turn * 10 THEN ' start' WHEN turn * 10 + 9 THEN ' end' ELSE '' END
+FROM (SELECT conv_id, turn, CAST(unnest(range(turn * 10, turn * 10 + 10)) AS INTEGER) AS t FROM conversations WHERE turn % 5 <> 3)""")
+def q61_label_commands(spark, sf_dir):
+    """Draw rows of mouths, and of shot numbers on the frames of each conversation's turns."""
+    points = F.array(*[F.struct((F.col("x1") + dx).alias("x"), (F.col("y1") + dy).alias("y")) for dx, dy in ((40, 40), (80, 40), (60, 30), (30, 10), (90, 10))])
+    mouths = render.mouth_commands(observations(spark, sf_dir).withColumn("landmarks", points), "shot_id")
+    marked = overlay.expand(_turns(spark, sf_dir), "conv_id", "turn")
+    labels = render.shot_labels(marked, "conv_id").withColumnRenamed("conv_id", "shot_id")
+    return mouths.unionByName(labels).withColumn("colour", F.array_join(F.col("colour").cast("array<string>"), ","))
+
+
+@query(f"""WITH {SEGMENTS} SELECT user_id, shot_number, first_frame, last_frame, CAST(CASE WHEN shot_number % 2 = 1 THEN 1 ELSE 0 END AS INTEGER) AS face_count, CASE WHEN shot_number % 2 = 1 THEN 25.0::DOUBLE END AS center_x FROM segments""")
+def q62_shot_feature_documents(spark, sf_dir):
+    """Shots and the faces of their middle frames written as documents and read again; every second shot has a face."""
+    e = table(spark, sf_dir, "events")
+    s = _segments(spark, sf_dir)
+    middle = s.where("shot_number % 2 = 1").select("user_id", X.middle_frame(F.col("first_frame"), F.col("last_frame")).alias("frame_idx"))
+    faces = middle.select("user_id", "frame_idx", F.lit(0).alias("face_ord"), F.lit(10).alias("x1"), F.lit(10).alias("y1"), F.lit(40).alias("x2"), F.lit(50).alias("y2"))
+    totals = e.groupBy("user_id").agg(F.count("*").cast("int").alias("n_frames"))
+    docs = pipelines.shot_features(e, "user_id", ["ts", "event_id"], "value", totals, faces, 100, 100)
+    return documents.shots(docs, "user_id").select("user_id", "shot_number", "first_frame", "last_frame", "face_count", F.col("face_details")[0]["center_x"].alias("center_x"))
+
+
+@query(f"""WITH RECURSIVE {OBSERVATIONS}, {FRAMES}, n AS (SELECT f.shot_id, f.frame_idx, count(obs_ord) AS d, f.frame_idx % 7 <> 6 AS ok FROM frames f LEFT JOIN obs USING (shot_id, frame_idx) GROUP BY ALL),
+run AS (
+  SELECT DISTINCT shot_id, -1 AS frame_idx, '' AS action, CAST(0 AS BIGINT) AS faces, CAST(0 AS BIGINT) AS t FROM frames
+  UNION ALL
+  SELECT shot_id, frame_idx, action, CASE WHEN action = 'tracked' OR action = 'fallback' AND d = 0 THEN kept ELSE least(d, 1) END, CASE WHEN action = 'tracked' OR d = 0 THEN t ELSE d END
+  FROM (
+    SELECT *, CASE WHEN faces = 0 OR frame_idx % 10 = 0 THEN 'detected' WHEN kept = t THEN 'tracked' ELSE 'fallback' END AS action
+    FROM (SELECT n.shot_id, n.frame_idx, n.d, run.faces, run.t, CASE WHEN n.ok THEN run.t ELSE 0 END AS kept FROM run JOIN n ON n.shot_id = run.shot_id AND n.frame_idx = run.frame_idx + 1))
+)
+SELECT shot_id, frame_idx, action, CAST(faces AS INTEGER) AS n_faces FROM run WHERE frame_idx >= 0""")
+def q63_mouth_schedule(spark, sf_dir):
+    """The mouth renderer's schedule, with one face drawn of each detection, and trackers lost in every seventh frame."""
+    counts = observations(spark, sf_dir).groupBy("shot_id", "frame_idx").agg(F.count("*").alias("detected"))
+    f = all_frames(spark, sf_dir).join(counts, ["shot_id", "frame_idx"], "left").withColumn("tracked_ok", F.col("frame_idx") % 7 != 6)
+    return schedule.mouth_schedule(f.withColumn("drawn", F.least("detected", F.lit(1))), 10).drop("closes")

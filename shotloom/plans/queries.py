@@ -307,16 +307,27 @@ def q23_vchunk_map(spark, sf_dir):
     return documents.local_id_map(t).select("shot_id", F.array_join(pairs, ",").alias("ids"))
 
 
-@query(f"""WITH {OBSERVATIONS}, {FRAMES}, n AS (SELECT f.shot_id, f.frame_idx, count(obs_ord) AS n FROM frames f LEFT JOIN obs USING (shot_id, frame_idx) GROUP BY ALL),
-b AS (SELECT shot_id, min(frame_idx) AS born FROM n WHERE n > 0 GROUP BY shot_id)
-SELECT shot_id, frame_idx FROM n JOIN b USING (shot_id) WHERE frame_idx % 10 = 0 OR frame_idx <= born""")
+def shot_schedule_sql(held: str) -> str:
+    """The shot schedule frame by frame; held is whether the trackers hold in a frame."""
+    return f"""WITH RECURSIVE {OBSERVATIONS}, {FRAMES}, n AS (SELECT f.shot_id, f.frame_idx, count(obs_ord) AS d, {held} AS ok FROM frames f LEFT JOIN obs USING (shot_id, frame_idx) GROUP BY ALL),
+run AS (
+  SELECT DISTINCT shot_id, -1 AS frame_idx, '' AS action, CAST(0 AS BIGINT) AS faces, false AS born, false AS active, CAST(0 AS BIGINT) AS tracked FROM frames
+  UNION ALL
+  SELECT shot_id, frame_idx, action, CASE action WHEN 'tracked' THEN tracked ELSE d END, born OR CASE action WHEN 'tracked' THEN tracked ELSE d END > 0,
+    CASE action WHEN 'tracked' THEN active ELSE d > 0 END, CASE action WHEN 'tracked' THEN tracked ELSE d END
+  FROM (
+    SELECT n.shot_id, n.frame_idx, n.d, run.born, run.active, run.tracked,
+      CASE WHEN n.frame_idx % 10 = 0 OR NOT run.born OR NOT run.active THEN 'detected' WHEN n.ok THEN 'tracked' ELSE 'fallback' END AS action
+    FROM run JOIN n ON n.shot_id = run.shot_id AND n.frame_idx = run.frame_idx + 1)
+)"""
+
+
+@query(shot_schedule_sql("true") + " SELECT shot_id, frame_idx FROM run WHERE action = 'detected'")
 def q24_detection_schedule(spark, sf_dir):
-    """Frames detected by schedule: every tenth, and all until a first face; trackers hold in all frames, and stop where no face is found."""
+    """All frames that are detected while trackers hold in every frame: every tenth, and any while no tracker is active."""
     counts = observations(spark, sf_dir).groupBy("shot_id", "frame_idx").agg(F.count("*").alias("detected"))
     f = all_frames(spark, sf_dir).join(counts, ["shot_id", "frame_idx"], "left").withColumn("tracked_ok", F.lit(True))
-    found = schedule.shot_schedule(f, 10).where("action = 'detected'")
-    born = counts.groupBy("shot_id").agg(F.min("frame_idx").alias("born"))
-    return found.join(born, "shot_id").where(schedule.due(F.col("frame_idx"), 0, 10) | (F.col("frame_idx") <= F.col("born"))).select("shot_id", "frame_idx")
+    return schedule.shot_schedule(f, 10).where("action = 'detected'").select("shot_id", "frame_idx")
 
 
 @query(f"""WITH {OBSERVATIONS} SELECT obs_ord, greatest(0, x1 + 25) AS x, greatest(0, y1 - 45) AS y, 70 AS w, 80 AS h FROM
