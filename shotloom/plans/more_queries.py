@@ -17,15 +17,15 @@ from .queries import CLAIMS, SEGMENTS, TURNS, _segments, _tracked, _turns, query
 from .scratch import numbered
 
 
-@query(CLAIMS + " SELECT shot_id, frame_idx, track_id, item_ord FROM ranked WHERE rk = 1")
+@query(CLAIMS + ", twice AS (SELECT shot_id, frame_idx, 2 * track_id + k AS track_id, item_ord FROM ranked, range(2) t(k) WHERE rk = 1) SELECT shot_id, frame_idx, track_id, item_ord, row_number() OVER (PARTITION BY shot_id, frame_idx, item_ord ORDER BY track_id) = 1 AS assigned FROM twice")
 def q28_resolved_claims(spark, sf_dir):
-    """Candidates keep their best item; lanes never compete for one, so that all first ranks are assigned."""
+    """Every candidate comes twice, so that two compete for each best item: the smaller id gets it, the other loses."""
     o = observations(spark, sf_dir)
-    cand = o.select("shot_id", "frame_idx", F.col("obs_ord").alias("track_id"), *[F.col(s).alias("c" + s) for s in G.SIDES])
+    cand = o.select("shot_id", "frame_idx", F.explode(F.array(F.col("obs_ord") * 2, F.col("obs_ord") * 2 + 1)).alias("track_id"), *[F.col(s).alias("c" + s) for s in G.SIDES])
     item = o.select("shot_id", (F.col("frame_idx") - 1).alias("frame_idx"), F.col("obs_ord").alias("item_ord"), *G.SIDES)
     keys = ["shot_id", "frame_idx"]
     ranked = tracking.claims(cand, item, keys, G.iou(G.box("c"), G.box()), 0.3)
-    return tracking.resolve_claims(ranked, keys).where("assigned").select(*keys, "track_id", "item_ord")
+    return tracking.resolve_claims(ranked, keys).where("rank = 1").select(*keys, "track_id", "item_ord", "assigned")
 
 
 @query(f"""WITH {TURNS}, n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM turns)
@@ -75,10 +75,12 @@ def q33_track_lookups(spark, sf_dir):
     return at.select("shot_id", "track_id", "what", "box.x1", "box.y1")
 
 
-@query(f"""WITH {OBSERVATIONS} SELECT shot_id, frame_idx, 'box' AS kind, x1, y1, x2, y2, CAST(NULL AS VARCHAR) AS text FROM obs
-UNION ALL SELECT shot_id, frame_idx, 'text', x1, greatest(0, y1 - 150), x1, greatest(0, y1 - 150), CAST(obs_ord AS VARCHAR) FROM obs""")
+@query(f"""WITH {OBSERVATIONS} SELECT shot_id, frame_idx, 'box' AS kind, x1, y1, x2, y2, CASE obs_ord % 3 WHEN 0 THEN '255,0,0' WHEN 1 THEN '0,165,255' ELSE '255,0,255' END AS colour, CAST(NULL AS VARCHAR) AS text FROM obs
+UNION ALL SELECT shot_id, frame_idx, 'text', x1, greatest(0, y1 - 150), x1, greatest(0, y1 - 150), CASE obs_ord % 3 WHEN 0 THEN '255,0,0' WHEN 1 THEN '0,165,255' ELSE '255,0,255' END, CAST(obs_ord AS VARCHAR) FROM obs""")
 def q34_draw_commands(spark, sf_dir):
-    return render.draw_commands(observations(spark, sf_dir), "shot_id", F.col("obs_ord"), margin=150).drop("colour")
+    source = F.when(F.col("obs_ord") % 3 == 0, "tracked").when(F.col("obs_ord") % 3 == 1, "fallback").otherwise("other")
+    drawn = render.draw_commands(observations(spark, sf_dir), "shot_id", F.col("obs_ord"), source, margin=150)
+    return drawn.withColumn("colour", F.array_join(F.col("colour").cast("array<string>"), ","))
 
 
 @query(f"""WITH {OBSERVATIONS} SELECT shot_id, frame_idx, count(*) FILTER (fine) AS n_drawn, count(*) FILTER (NOT fine) AS n_skipped FROM (SELECT *, x1 < 1000 AND y1 < 270 AND x2 <= 1000 AND y2 <= 270 AS fine FROM obs) GROUP BY ALL""")
@@ -106,16 +108,17 @@ def q37_frame_times(spark, sf_dir):
     return e.select("event_id", X.middle_frame(F.col("event_id"), F.col("user_id")).alias("mid"), F.round(X.frame_seconds(F.col("event_id"), F.lit(30.0)), 9).alias("seconds"), X.seconds_to_pts(seconds, F.lit(1), F.lit(12800)).alias("pts"))
 
 
-@query(f"""WITH {OBSERVATIONS}, {FRAMES} SELECT f.shot_id, f.frame_idx, count(obs_ord) AS n, CAST(coalesce(sum(x1 + y1 * 2 + (x2 - x1) * 3 + (y2 - y1) * 5), 0) AS BIGINT) AS mark FROM frames f LEFT JOIN obs USING (shot_id, frame_idx) GROUP BY ALL""")
+@query(f"""WITH {OBSERVATIONS}, {FRAMES} SELECT f.shot_id, f.frame_idx, count(obs_ord) AS n, CAST(coalesce(sum(x1 + y1 * 2 + (x2 - x1) * 3 + (y2 - y1) * 5), 0) AS BIGINT) AS mark, CAST(coalesce(sum(round(obs_ord % 1000 / 7.0::DOUBLE * 1000)), 0) AS BIGINT) AS thousandths FROM frames f LEFT JOIN obs USING (shot_id, frame_idx) GROUP BY ALL""")
 def q38_frame_face_documents(spark, sf_dir):
     """Per-frame face lists written as documents, empty frames too, read again and joined to frames by position."""
     o = observations(spark, sf_dir)
     x, y, w, h = G.to_xywh(G.box())
-    faces = o.select("shot_id", "frame_idx", F.col("obs_ord").alias("face_ord"), x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"), F.lit(0.5).alias("conf"), F.lit("detected").alias("source"))
+    faces = o.select("shot_id", "frame_idx", F.col("obs_ord").alias("face_ord"), x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"), (F.col("obs_ord") % 1000 / 7.0).alias("conf"), F.lit("detected").alias("source"))
     f = all_frames(spark, sf_dir)
     back = documents.frame_faces(documents.frame_faces_document(faces, f, "shot_id"), "shot_id")
     mark = F.aggregate("faces", F.lit(0).cast("long"), lambda a, b: a + b["x"] + b["y"] * 2 + b["w"] * 3 + b["h"] * 5)
-    rows = back.select("shot_id", F.col("pos").alias("frame_idx"), F.size("faces").cast("long").alias("n"), mark.alias("mark"))
+    thousandths = F.aggregate("faces", F.lit(0).cast("long"), lambda a, b: a + F.round(b["conf"] * 1000).cast("long"))
+    rows = back.select("shot_id", F.col("pos").alias("frame_idx"), F.size("faces").cast("long").alias("n"), mark.alias("mark"), thousandths.alias("thousandths"))
     return f.join(rows, ["shot_id", "frame_idx"])
 
 

@@ -139,11 +139,27 @@ def q09_global_ids(spark, sf_dir):
     return identity.global_ids(_vectors(spark, sf_dir), 0.4)
 
 
-@query()
+@query("""WITH RECURSIVE t AS (
+  SELECT label AS shot_id, vec_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) AS INTEGER) AS p, vec_id % 97 AS f, CASE WHEN vec_id % 11 = 0 THEN CAST(vec_id % 5 + 100 AS INTEGER) END AS given, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+pairs AS (SELECT a.shot_id, a.p, b.p AS j, list_cosine_similarity(a.v, b.v) AS s FROM t a JOIN t b ON a.shot_id = b.shot_id AND (a.f + 5 < b.f OR b.f + 5 < a.f)),
+near AS (SELECT t.shot_id, t.p, coalesce(list(j ORDER BY s DESC, j) FILTER (s >= 0.3), []) AS near FROM t LEFT JOIN pairs USING (shot_id, p) GROUP BY ALL),
+first AS (
+  SELECT shot_id, 1 AS p, list(given ORDER BY p) AS ids FROM t GROUP BY shot_id
+  UNION ALL
+  SELECT r.shot_id, r.p + 1, CASE WHEN r.ids[r.p] IS NULL THEN list_transform(r.ids, lambda x, j: CASE WHEN j = r.p THEN r.ids[list_filter(n.near, lambda k: r.ids[k] IS NOT NULL)[1]] ELSE x END) ELSE r.ids END
+  FROM first r JOIN near n ON n.shot_id = r.shot_id AND n.p = r.p),
+second AS (
+  SELECT shot_id, 1 AS p, 0 AS number, ids FROM first WHERE p > len(ids)
+  UNION ALL
+  SELECT r.shot_id, r.p + 1, CASE WHEN r.ids[r.p] IS NULL THEN r.number + 1 ELSE r.number END,
+    CASE WHEN r.ids[r.p] IS NULL THEN list_transform(r.ids, lambda x, j: CASE WHEN x IS NULL AND (j = r.p OR list_contains(n.near, CAST(j AS INTEGER))) THEN r.number ELSE x END) ELSE r.ids END
+  FROM second r JOIN near n ON n.shot_id = r.shot_id AND n.p = r.p)
+SELECT t.shot_id, t.vec_id AS track_ord, CAST(ids[t.p] AS INTEGER) AS local_id FROM t JOIN second USING (shot_id) WHERE second.p > len(ids)""")
 def q10_local_ids(spark, sf_dir):
-    """Greedy ids in a shot: labels as shots, vectors as tracks of six frames."""
+    """Greedy ids in a shot: labels as shots, vectors as tracks of six frames; every eleventh has an id already."""
     first = (F.col("vec_id") % 97).cast("int")
-    t = table(spark, sf_dir, "embeddings").select(F.col("label").alias("shot_id"), F.col("vec_id").alias("track_ord"), first.alias("first_frame"), (first + 5).alias("last_frame"), F.col("embedding").alias("mean"), F.lit(None).cast("int").alias("local_id"))
+    given = F.when(F.col("vec_id") % 11 == 0, (F.col("vec_id") % 5 + 100).cast("int"))
+    t = table(spark, sf_dir, "embeddings").select(F.col("label").alias("shot_id"), F.col("vec_id").alias("track_ord"), first.alias("first_frame"), (first + 5).alias("last_frame"), F.col("embedding").alias("mean"), given.alias("local_id"))
     return identity.local_ids(t, 0.3).select("shot_id", "track_ord", "local_id")
 
 
