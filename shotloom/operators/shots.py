@@ -44,6 +44,7 @@ def middle_frames(shots: DataFrame, frames: DataFrame, key: str) -> DataFrame:
 
 
 # Validation: violations as rows (key, rule, shot_number, message).
+# The messages of the number, contiguity, coverage and face count rules, which others parse.
 
 
 def _found(df: DataFrame, key: str, rule: str, number, message) -> DataFrame:

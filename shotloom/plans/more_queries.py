@@ -14,7 +14,8 @@ from ..sources import documents, frames, video
 from . import pipelines
 from .fixtures import FRAMES, HEIGHT, OBSERVATIONS, TRACKS, WIDTH, all_frames, observations, table
 from .queries import CLAIMS, SEGMENTS, TURNS, _segments, _tracked, _turns, query, shot_schedule_sql
-from .scratch import numbered
+from ..streaming import tracks as streams
+from .scratch import new_path, numbered
 
 
 @query(CLAIMS + ", twice AS (SELECT shot_id, frame_idx, 2 * track_id + k AS track_id, item_ord FROM ranked, range(2) t(k) WHERE rk = 1) SELECT shot_id, frame_idx, track_id, item_ord, row_number() OVER (PARTITION BY shot_id, frame_idx, item_ord ORDER BY track_id) = 1 AS assigned FROM twice")
@@ -164,7 +165,7 @@ def q43_timed_scan(spark, sf_dir):
     """The wanted range of the synthetic video by time stamps, from an earlier start."""
     frames.register(spark)
     v = spark.read.format("shotloom_video").load().withColumn("pts", F.col("pts") * 512)
-    return frames.timed_scan(v.where("frame_idx >= 20"), 30, 60, 30.0, 1, 15360, "frame_idx").select("frame_idx")
+    return frames.timed_scan(v.where("frame_idx >= 20"), 30, 60, 30.0, 1, 15360, "frame_idx", stamped=True).select("frame_idx")
 
 
 @query(f"""WITH {OBSERVATIONS} SELECT obs_ord, x2 - x1 AS w, y2 - y1 AS h, CAST(trunc(x1 + 0.75) AS INTEGER) AS bx1, CAST(trunc(y1 + (y2 - y1) + 0.5) AS INTEGER) AS by2 FROM obs""")
@@ -389,3 +390,37 @@ def q63_mouth_schedule(spark, sf_dir):
     counts = observations(spark, sf_dir).groupBy("shot_id", "frame_idx").agg(F.count("*").alias("detected"))
     f = all_frames(spark, sf_dir).join(counts, ["shot_id", "frame_idx"], "left").withColumn("tracked_ok", F.col("frame_idx") % 7 != 6)
     return schedule.mouth_schedule(f.withColumn("drawn", F.least("detected", F.lit(1))), 10).drop("closes")
+
+
+@query(f"WITH {TRACKS} SELECT shot_id, track_id, min(frame_idx) AS first_frame, max(frame_idx) AS last_frame, count(*) AS n_obs FROM tracked GROUP BY ALL")
+def q64_stream_tracks(spark, sf_dir):
+    """The observations read as a stream of files, and the tracks it emits as they close; one late row moves the watermark beyond all."""
+    began, place = 1_700_000_000, new_path(spark, "stream")
+    o = observations(spark, sf_dir)
+    end = spark.createDataFrame([(-1, 10_000, 0, 0, 0, 1, 1)], ", ".join(f"{c} {t}" for c, t in o.dtypes))
+    o.unionByName(end).write.parquet(f"{place}/in")
+    stream = streams.with_event_time(spark.readStream.schema(o.schema).parquet(f"{place}/in"), start=began)
+    out = streams.stream_tracks(stream, start=began)
+    run = out.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{place}/out").where("shot_id >= 0")
+
+
+@query("SELECT CAST(range AS BIGINT) AS id, 512 AS length, 1.0::DOUBLE AS norm, range % 7 AS place FROM range(40)")
+def q65_embeddings(spark, sf_dir):
+    """The embedder's plug-in point with a stand-in: the picture's first number, modulo 7, is the vector's only component."""
+    img = F.concat(F.unhex(F.lpad(F.hex("id"), 2, "0")), F.expr(f"unhex(repeat('00', {112 * 112 * 3 - 1}))"))
+    crops = spark.range(40).select("id", F.lit(112).alias("w"), F.lit(112).alias("h"), img.alias("img"))
+    e = models.embed(crops, _one_hot)
+    size = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    place = F.array_position(F.transform("embedding", lambda x: x > 0), True) - 1
+    return e.select("id", F.size("embedding").alias("length"), size.alias("norm"), place.alias("place"))
+
+
+def _one_hot():
+    def embed(images):
+        out = np.zeros((len(images), 512), np.float32)
+        out[np.arange(len(images)), images[:, 0, 0, 0] % 7] = 3
+        return out
+
+    return embed

@@ -20,7 +20,8 @@ PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.imp
 _BEGUN: list[tuple[float, str]] = []
 
 
-def _new_path(spark: SparkSession, name: str) -> str:
+def new_path(spark: SparkSession, name: str) -> str:
+    """A place in the shared folder that no other table has."""
     path = f"{shared_dir(spark)}/shotloom/{name}-{uuid.uuid4().hex}"
     _BEGUN.append((time.time(), path))
     return path
@@ -64,7 +65,7 @@ def stored(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     With free, the shuffle files of what has ended are given back at once.
     """
     spark = df.sparkSession
-    path = _new_path(spark, name)
+    path = new_path(spark, name)
     df.write.options(**PLAIN).parquet(path)
     if free:
         free_shuffles(spark)
@@ -82,7 +83,7 @@ def free_shuffles(spark: SparkSession) -> None:
 def bucketed(df: DataFrame, name: str, key: str, parts: int) -> DataFrame:
     """df written once as a table of `parts` buckets by key, in the shared folder: joins by key move the other side only."""
     spark = df.sparkSession
-    path = _new_path(spark, name)
+    path = new_path(spark, name)
     table = "shotloom_" + path.rsplit("/", 1)[1].replace("-", "_")
     df.repartition(parts, key).write.bucketBy(parts, key).options(path=path, **PLAIN).format("parquet").saveAsTable(table)
     free_shuffles(spark)
@@ -95,7 +96,7 @@ def appended(parts: Iterable[DataFrame], name: str) -> DataFrame | None:
     """Parts written one after the other to one table and read as one scan; None without parts."""
     path, first = None, None
     for part in parts:
-        path = path or _new_path(part.sparkSession, name)
+        path = path or new_path(part.sparkSession, name)
         first = part if first is None else first
         part.write.mode("append").options(**PLAIN).parquet(path)
     if first is None:

@@ -12,11 +12,14 @@ def range_scan(frames: DataFrame, first: Column | int, last: Column | int) -> Da
     return frames.where(F.col("frame_idx").between(first, last))
 
 
-def timed_scan(frames: DataFrame, first: int, last: int, fps: float, tb_num: int, tb_den: int, order: str, preroll: int = 5) -> DataFrame:
+def timed_scan(frames: DataFrame, first: int, last: int, fps: float, tb_num: int, tb_den: int, order: str, preroll: int = 5, keys: tuple[str, ...] = (), stamped: bool = False) -> DataFrame:
     """The frames from `first` on by time stamp, as many as wanted, from a decode that starts a little earlier.
 
     Where pts is known it must reach the start's; else the time must, within
     1e-9 s; else the preroll's frames are skipped by count. Frames come in `order`.
+    With keys, every video that they name is scanned by itself; counting then runs
+    in each video's partition. stamped promises a pts or time in every frame, so
+    that nothing is counted at all.
     """
     wanted = last - first + 1
     if wanted <= 0:
@@ -24,11 +27,16 @@ def timed_scan(frames: DataFrame, first: int, last: int, fps: float, tb_num: int
     start = first / fps
     start_pts = round(start * tb_den / tb_num)
     skip = max(0, round((start - max(0.0, start - preroll / fps)) * fps))
-    blind = F.col("pts").isNull() & F.col("time_sec").isNull()
-    # the decoder hands out one video's frames in order; only frames without stamps need counting
-    count = F.sum(blind.cast("int")).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    late = F.when(F.col("pts").isNotNull(), F.col("pts") >= start_pts).when(F.col("time_sec").isNotNull(), F.col("time_sec") + 1e-9 >= start).otherwise(count > skip)
-    return frames.withColumn("_reached", late).where("_reached").drop("_reached").orderBy(order).limit(wanted)
+    late = F.when(F.col("pts").isNotNull(), F.col("pts") >= start_pts).when(F.col("time_sec").isNotNull(), F.col("time_sec") + 1e-9 >= start)
+    if not stamped:
+        # the decoder hands out a video's frames in order; only frames without stamps need counting
+        blind = F.col("pts").isNull() & F.col("time_sec").isNull()
+        line = Window.partitionBy(*keys).orderBy(order)
+        late = late.otherwise(F.sum(blind.cast("int")).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)) > skip)
+    reached = frames.withColumn("_reached", late).where("_reached").drop("_reached")
+    if not keys:
+        return reached.orderBy(order).limit(wanted)
+    return reached.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where(F.col("_n") <= wanted).drop("_n").sort(*keys, order)
 
 
 def point_lookup(frames: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
