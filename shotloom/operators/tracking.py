@@ -195,6 +195,11 @@ def expanded_boxes(boxes: DataFrame, width: int, height: int, keys: list[str], o
     )
 
 
+def last_frames(tracked: DataFrame) -> DataFrame:
+    """(shot_id, last_frame): the last frame that any track of a shot reaches; shots without tracks have no row."""
+    return tracked.groupBy("shot_id").agg(F.max("frame_idx").cast("int").alias("last_frame"))
+
+
 def claims(candidates: DataFrame, items: DataFrame, keys: list[str], score: Column, threshold: float, skip: Column | None = None) -> DataFrame:
     """Pairs of candidates and items of a group that score enough, ranked by score for each candidate, ties by item_ord.
 

@@ -424,3 +424,30 @@ def _one_hot():
         return out
 
     return embed
+
+
+@query("""SELECT vec_id, CASE vec_id % 5 WHEN 0 THEN false WHEN 1 THEN false WHEN 2 THEN false ELSE true END AS usable, vec_id % 5 <> 0 AS given FROM embeddings""")
+def q66_usable_embeddings(spark, sf_dir):
+    """Of five vectors one is missing, one has a component that isn't finite, one is too short."""
+    k = F.col("vec_id") % 5
+    v = F.when(k == 1, F.transform("embedding", lambda x, i: F.when(i == 0, F.lit(float("nan"))).otherwise(x))).when(k == 2, F.slice("embedding", 1, 3)).when(k > 2, F.col("embedding"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").alias("n"), v.alias("v"))
+    width = F.lit(e.agg(F.max("n")).head()[0] or 0)
+    return e.select("vec_id", V.usable(F.col("v"), width).alias("usable"), F.col("v").isNotNull().alias("given"))
+
+
+@query(CLAIMS + " SELECT shot_id, track_id, item_ord, CAST(rk AS INTEGER) AS rank FROM ranked WHERE track_id % 4 <> 1")
+def q67_claims_with_skips(spark, sf_dir):
+    """Every fourth candidate is skipped, and makes no claim."""
+    o = observations(spark, sf_dir)
+    cand = o.select("shot_id", "frame_idx", F.col("obs_ord").alias("track_id"), *[F.col(s).alias("c" + s) for s in G.SIDES])
+    item = o.select("shot_id", (F.col("frame_idx") - 1).alias("frame_idx"), F.col("obs_ord").alias("item_ord"), *G.SIDES)
+    ranked = tracking.claims(cand, item, ["shot_id", "frame_idx"], G.iou(G.box("c"), G.box()), 0.3, skip=F.col("track_id") % 4 == 1)
+    return ranked.select("shot_id", "track_id", "item_ord", F.col("rank").cast("int").alias("rank"))
+
+
+@query(f"""WITH {TRACKS}, s AS (SELECT shot_id, max(frame_idx) AS last_frame FROM tracked GROUP BY shot_id) SELECT shot_id, CAST(last_frame AS INTEGER) AS last_frame FROM s""")
+def q68_last_frames(spark, sf_dir):
+    """The last frame that any track of a shot reaches."""
+    return tracking.last_frames(_tracked(spark, sf_dir))
+

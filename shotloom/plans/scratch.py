@@ -76,8 +76,10 @@ def stored(df: DataFrame, name: str, free: bool = False) -> DataFrame:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Have Spark delete shuffle files that no plan refers to: it learns of them when the driver collects its garbage, which may be long after."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first finds may hold on to more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.15)
 
 
 def bucketed(df: DataFrame, name: str, key: str, parts: int) -> DataFrame:
