@@ -3,9 +3,10 @@
 Fingerprints that are equal collapse to one row first. A small tree, built on a
 bounded sample, cuts the Hamming space into shards: every fingerprint has one
 home shard, and is also sent as a visitor to the shards that the triangle
-inequality leaves open. Each shard is searched by a vantage-point tree of its
-own, and reports a spanning forest of its links, never all pairs of a dense
-group. Components of the forest are joined up by connected_components().
+inequality leaves open. While shards are too large, each is cut again by a tree
+of its own. Each shard is searched by a vantage-point tree, and reports a
+spanning forest of its links, never all pairs of a dense group. Components of
+the forest are joined up by connected_components().
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import stored, tune
+from .common import shuffle_parts, stored, tune
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEED = 42
-#: Distinct fingerprints aimed at in a shard; depth of the shared tree at most; sample rows for each of its leaves.
-SHARD, DEPTH, SAMPLE = 8192, 12, 64
+#: Distinct fingerprints aimed at in a shard; depth of one dealing tree at most (deeper trees are dealt level by level); sample rows for each of its leaves.
+SHARD, LEVEL, SAMPLE = 8192, 12, 64
 LEAF, BLOCK = 64, 1 << 21
 
 
@@ -44,11 +45,16 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
         starts = np.concatenate(([0], ends[:-1] + 1))
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())]
-    ones, whole = np.zeros(64, np.int64), np.array(hashes, "<u8")
-    for i in range(0, len(whole), 1 << 16):
-        part = whole[i : i + (1 << 16)]
+    return majority(np.array(hashes, "<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in more than half of the 64-bit hashes."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 16):
+        part = hashes[i : i + (1 << 16)]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(whole), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -85,13 +91,15 @@ def build_tree(sample: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return points, radii
 
 
-def route(fps: np.ndarray, tree: tuple[np.ndarray, np.ndarray], radius: int):
+def route(fps: np.ndarray, tree: tuple[np.ndarray, np.ndarray], radius: int, visitors: bool = False):
     """Yield (shard, positions, is home): one home for each fingerprint, and every shard that may hold a partner.
 
     Of two partners that a node parts, the inner one visits the outer side.
+    Fingerprints that are visitors have no home and visit every side in reach.
     """
     points, radii = tree
-    todo = [(1, np.arange(len(fps)), np.arange(0))]
+    every, none = np.arange(len(fps)), np.arange(0)
+    todo = [(1, none, every) if visitors else (1, every, none)]
     while todo:
         node, home, visit = todo.pop()
         if not len(home) + len(visit):
@@ -169,38 +177,102 @@ def search(home: np.ndarray, visit: np.ndarray, radius: int) -> tuple[np.ndarray
     return fps[:0], fps[:0]
 
 
+def dealt_again(dealt: DataFrame, depth: int, radius: int) -> DataFrame:
+    """dealt (shard, fp, home) with every shard cut by a tree of its own.
+
+    A shard's rows come sorted, home rows first and in order of a hash: the first
+    few are the sample that its tree is built on, the others stream through.
+    """
+    wanted = SAMPLE * 2**depth
+
+    def cut(batches):
+        shard, tree, held = None, None, []
+
+        def routed(fps, home, tree):
+            for number, at, is_home in _routed(fps, home, tree, radius):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard * 2 ** (depth + 1) + number, np.int64)), pa.array(at.view(np.int64)), pa.array(np.full(len(at), is_home))], ["shard", "fp", "home"])
+
+        def planted():
+            fps, home = (np.concatenate(x) for x in zip(*held))
+            return fps, home, build_tree(fps[home][:wanted], depth)
+
+        for b in batches:
+            shards, fps, home = np.asarray(b.column(0)), np.asarray(b.column(1)).view(np.uint64), np.asarray(b.column(2))
+            bounds = np.flatnonzero(np.concatenate(([True], shards[1:] != shards[:-1]))).tolist() if len(shards) else []
+            for lo, hi in zip(bounds, [*bounds[1:], len(shards)]):
+                if shards[lo] != shard:
+                    if held:
+                        yield from routed(*planted())
+                    shard, tree, held = int(shards[lo]), None, []
+                if tree is None:
+                    held.append((fps[lo:hi], home[lo:hi]))
+                    if sum(int(h.sum()) for _, h in held) >= wanted or not home[lo:hi].all():
+                        *first, tree = planted()
+                        held = []
+                        yield from routed(*first, tree)
+                else:
+                    yield from routed(fps[lo:hi], home[lo:hi], tree)
+        if held:
+            yield from routed(*planted())
+
+    rows = dealt.repartition(shuffle_parts(dealt.sparkSession), "shard").sortWithinPartitions("shard", F.desc("home"), F.xxhash64("fp"))
+    return rows.mapInArrow(cut, "shard long, fp long, home boolean")
+
+
+def _routed(fps: np.ndarray, home: np.ndarray, tree, radius: int):
+    """(shard, fingerprints, is home) for home points and for visitors that keep visiting."""
+    for number, at, is_home in route(fps[home], tree, radius):
+        if len(at):
+            yield number, fps[home][at], is_home
+    for number, at, _ in route(fps[~home], tree, radius, visitors=True):
+        if len(at):
+            yield number, fps[~home][at], False
+
+
 def links(distinct: DataFrame, radius: int) -> DataFrame:
     """distinct (fp) -> (u, v): links that connect exactly the fingerprints that chains of radius connect."""
     n = distinct.count()
-    depth = min(DEPTH, max(0, int(np.ceil(np.log2(max(1, n) / SHARD)))))
-    rows = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE * 2**depth).collect() if depth else []
-    tree = build_tree(np.array([r[0] for r in rows], np.int64).view(np.uint64), depth)
+    depth = max(0, int(np.ceil(np.log2(max(1, n) / SHARD))))
+    first = min(depth, LEVEL)
+    rows = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE * 2**first).collect() if first else []
+    tree = build_tree(np.array([r[0] for r in rows], np.int64).view(np.uint64), first)
 
     def deal(batches):
         for batch in batches:
             fps = np.asarray(batch.column(0)).astype(np.int64)
             for shard, at, home in route(fps.view(np.uint64), tree, radius):
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard, np.int32)), pa.array(fps[at]), pa.array(np.full(len(at), home))], ["shard", "fp", "home"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard, np.int64)), pa.array(fps[at]), pa.array(np.full(len(at), home))], ["shard", "fp", "home"])
 
     def within(table: pa.Table) -> pa.Table:
         fps, home = np.asarray(table.column("fp")).astype(np.int64).view(np.uint64), np.asarray(table.column("home"))
         u, v = search(fps[home], fps[~home], radius)
         return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    dealt = distinct.select("fp").mapInArrow(deal, "shard int, fp long, home boolean")
+    dealt = distinct.select("fp").mapInArrow(deal, "shard long, fp long, home boolean")
+    while first < depth:
+        step = min(LEVEL, depth - first)
+        dealt = stored(dealt_again(dealt, step, radius), "shards")
+        first += step
     return dealt.groupBy("shard").applyInArrow(within, "u long, v long")
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shingle: int = 3) -> DataFrame:
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shingle: int = 3, percent: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs; component_id is the smallest id in the row's group.
 
     Rows link if their fingerprints differ in radius bits or fewer; groups are
     the connected components. Null, empty and blank texts have fingerprint 0 and
     link like any other. A null id takes part in links, and counts as a smallest
     id only if its whole group has none. An empty table gives an empty result.
-    Columns other than id and text are ignored.
+    Columns other than id and text are ignored. Texts of any length are read whole.
+
+    With percent, rows link if the Jaccard likeness of their shingle sets is
+    percent / 100 or more, as near_groups() says, which gives the result.
     """
+    if percent is not None:
+        from .near import near_groups
+
+        return near_groups(docs, id_col, text_col, shingle, percent)
     fps = stored(fingerprints(docs, id_col, text_col, shingle), "fps")
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     members = stored(connected_components(links(distinct, radius)), "members")
