@@ -30,7 +30,7 @@ PRIMES, BASES = (2147483647, 2147483629), (911382323, 972663749)
 _POWERS = [np.ones(1, np.uint64) for _ in PRIMES]
 _BACK = [np.ones(1, np.uint64) for _ in PRIMES]
 #: Code points that decide on a cut, mean length of a span, span hashes in a fingerprint; rows aimed at in a range of ids.
-CUT, EVERY, KEPT = 16, 32, 32
+CUT, EVERY, KEPT = 16, 32, 24
 RANGE = 20_000
 
 
@@ -121,12 +121,17 @@ class Prefixes:
 
 
 def likeness(one: str, other: str) -> float:
-    """Of the KEPT smallest span hashes of two fingerprints together, the share that both have; 1 for equal ones."""
+    """How much two texts have in common, by their fingerprints: twice the shared spans over the spans of both; 1 for equal ones.
+
+    The share j of the KEPT smallest hashes of both together that each has
+    estimates the spans' Jaccard likeness; this is 2 * j / (1 + j).
+    """
     if one == other:
         return 1.0
     a, b = ({x[i : i + 8] for i in range(0, len(x), 8)} for x in (f.split("-")[2] for f in (one, other)))
     least = sorted(a | b)[:KEPT]
-    return sum(x in a and x in b for x in least) / len(least)
+    j = sum(x in a and x in b for x in least) / len(least)
+    return 2 * j / (1 + j)
 
 
 def edited(own: np.ndarray, following: np.ndarray) -> np.ndarray:
