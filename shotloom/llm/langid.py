@@ -23,6 +23,8 @@ from .common import discard, fold, stored, tune
 ORDER, SELECTED, LANDMARKS, RIDGE, SHARPNESS = 3, 4096, 128, 1e-2, 4.0
 #: About SAMPLE labelled rows are fitted, as many of each language (or all it has), but LEAST of each if there are many languages.
 SAMPLE, LEAST = 3000, 12
+#: Sampled keys up to which they are broadcast; more are joined by a shuffle.
+BROADCAST = 100_000
 _LETTER = np.array([chr(c).isalpha() for c in range(1 << 16)])
 
 
@@ -50,12 +52,29 @@ def grams(text: str | None) -> np.ndarray:
     return np.concatenate(out)
 
 
-def presence(found: np.ndarray, selected: np.ndarray) -> np.ndarray:
-    """Which of the selected (sorted) n-grams are among those found."""
-    at = np.minimum(np.searchsorted(selected, found), len(selected) - 1)
-    flags = np.zeros(len(selected), bool)
-    flags[at[selected[at] == found]] = True
-    return flags
+class Index:
+    """Places of the selected (sorted) n-grams, found by a hash without collisions among them."""
+
+    def __init__(self, selected: np.ndarray, bits: int = 22):
+        self.selected, self.shift, rng = selected, np.uint64(64 - bits), np.random.default_rng(1)
+        while True:
+            self.factor = np.uint64(rng.integers(1 << 62, 1 << 63)) * np.uint64(2) + np.uint64(1)
+            at = self._slot(selected)
+            if len(np.unique(at)) == len(at):
+                break
+        self.table = np.zeros(1 << bits, np.int16)
+        self.table[at] = np.arange(len(selected), dtype=np.int16)
+
+    def _slot(self, found: np.ndarray) -> np.ndarray:
+        x = found.view(np.uint64)
+        return (((x ^ (x >> np.uint64(29))) * self.factor) >> self.shift).view(np.int64)
+
+    def presence(self, found: np.ndarray) -> np.ndarray:
+        """Which of the selected n-grams are among those found."""
+        at = self.table[self._slot(found)]
+        flags = np.zeros(len(self.selected), bool)
+        flags[at[self.selected[at] == found]] = True
+        return flags
 
 
 @dataclass
@@ -112,7 +131,10 @@ def train(docs: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text
         return None
     each = max(LEAST, -(-sample // languages))
     chosen = rows.select("lang", "key").distinct().withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("_n") <= each)
-    own = rows.join(chosen.select("lang", "key"), ["lang", "key"]).groupBy("lang", "key").agg(F.first("text").alias("text"))
+    chosen = chosen.select("lang", "key")
+    if languages * each <= BROADCAST:
+        chosen = F.broadcast(chosen)
+    own = rows.join(chosen, ["lang", "key"]).groupBy("lang", "key").agg(F.first("text").alias("text"))
     own = stored(own, "sample")
 
     def count(batches):
@@ -131,8 +153,9 @@ def train(docs: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text
         return None
 
     def bits(batches):
+        index = Index(selected)
         for b in batches:
-            found = [np.packbits(presence(grams(t), selected)).tobytes() for t in b.column(2).to_pylist()]
+            found = [np.packbits(index.presence(grams(t))).tobytes() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], ["lang", "key", "bits"])
 
     got = sorted(own.mapInArrow(bits, "lang string, key long, bits binary").collect(), key=lambda r: (r["key"], r["lang"]))
@@ -159,6 +182,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
         rows = docs.select(*[F.col(c).alias(a) for c, a in zip(carry, carried)], F.col(text_col).cast("string").alias("_text"))
 
     def run(batches):
+        index = Index(model.selected) if model else None
         for b in batches:
             texts = b.column(at_text).to_pylist()
             lang, score, margin = ["und"] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan)
@@ -167,7 +191,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                 found = [(i, g) for i, g in found if len(g)]
                 if found:
                     at = [i for i, _ in found]
-                    value = model.decide(np.array([presence(g, model.selected) for _, g in found])).astype(np.float64)
+                    value = model.decide(np.array([index.presence(g) for _, g in found])).astype(np.float64)
                     best = value.argmax(1)
                     margin[at] = value.max(1)
                     score[at] = 1 / np.exp(SHARPNESS * (value - value.max(1, keepdims=True))).sum(1)
