@@ -76,8 +76,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Null texts have size 0; a null source is a source of its own, the last; null
     ids come first in their source's order; rows with equal ids are ordered by
-    size, and equal rows are interchangeable. Without words all targets are 0. An
-    empty table gives an empty result.
+    size, and equal rows are interchangeable. Texts of any length are counted
+    whole. Without words all targets are 0. An empty table gives an empty result.
     """
     names = [f"_c{i}" for i in range(len(carry))]
     rows = docs.select(
