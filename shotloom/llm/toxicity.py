@@ -50,7 +50,7 @@ class Settings:
     beta: float = 1.0
     l1: float = 8.0
     l2: float = 0.001
-    epochs: int = 4
+    epochs: int = 8
 
 
 CANDIDATES = tuple(Settings(alpha=a, l1=p, epochs=e) for a in (0.5, 1.0, 2.0) for p in (2.0, 4.0, 8.0) for e in (2, 4, 8))
