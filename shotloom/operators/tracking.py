@@ -69,19 +69,21 @@ TRACKED = T.StructType([
 ])
 
 
-def link_tracks(observations: DataFrame, frames: DataFrame | None = None, threshold: float = 0.5, conflict: str = "error") -> DataFrame:
+def link_tracks(observations: DataFrame, frames: DataFrame | None = None, threshold: float = 0.5, conflict: str = "error", ref: str | None = None) -> DataFrame:
     """observations (shot_id, frame_idx, obs_ord, x1..y2) -> the same with track_id, numbered in each shot.
 
     frames (shot_id, frame_idx) names the processed frames: a processed frame
     without an observation of a track closes it. Without frames every integer
     frame is processed. Frames run in order of frame_idx, observations of a frame
     in order of obs_ord. State is held for open tracks only, in one sorted pass.
+    ref is a column of numbers that goes along, for columns that would be heavy.
     """
-    own = observations.select(F.col("shot_id").cast("long"), F.col("frame_idx").cast("int"), F.col("obs_ord").cast("long"), *[F.col(s).cast("int") for s in SIDES])
+    own = observations.select(F.col("shot_id").cast("long"), F.col("frame_idx").cast("int"), F.col("obs_ord").cast("long"), *[F.col(s).cast("int") for s in SIDES], *([F.col(ref).cast("long")] if ref else []))
+    schema = T.StructType([*TRACKED.fields[:-1], *([T.StructField(ref, T.LongType())] if ref else []), TRACKED.fields[-1]])
     dense = frames is None
     if not dense:
         marks = frames.select(F.col("shot_id").cast("long"), F.col("frame_idx").cast("int")).distinct()
-        own = own.unionByName(marks.withColumns({"obs_ord": F.lit(None).cast("long"), **{s: F.lit(None).cast("int") for s in SIDES}}))
+        own = own.unionByName(marks.withColumns({"obs_ord": F.lit(None).cast("long"), **{s: F.lit(None).cast("int") for s in SIDES}, **({ref: F.lit(None).cast("long")} if ref else {})}))
 
     def step(rows):
         linker, now, held = TrackLinker(threshold, conflict), None, []
@@ -101,7 +103,7 @@ def link_tracks(observations: DataFrame, frames: DataFrame | None = None, thresh
                 held.append(r)
         yield from close()
 
-    return scan_sorted(own, ["shot_id"], ["frame_idx", F.col("obs_ord").asc_nulls_first()], step, TRACKED)
+    return scan_sorted(own, ["shot_id"], ["frame_idx", F.col("obs_ord").asc_nulls_first()], step, schema)
 
 
 KEYS = ["shot_id", "track_id"]

@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
-def scan_sorted(df: DataFrame, keys: list[str], order: list, step: Callable[[Iterator[tuple]], Iterator[tuple]], schema: StructType, parts: int | None = None) -> DataFrame:
+def scan_sorted(df: DataFrame, keys: list[str], order: list, step: Callable[[Iterator[tuple]], Iterator[tuple]], schema: StructType, parts: int | None = None, dealt: bool = False) -> DataFrame:
     """Run step over each group's rows in order; groups never meet in memory as a whole.
 
     Rows are dealt by keys and sorted in the JVM. step gets an iterator over one
@@ -45,7 +45,7 @@ def scan_sorted(df: DataFrame, keys: list[str], order: list, step: Callable[[Ite
         if out:
             yield _batch(out, arrow)
 
-    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return (df if dealt else df.repartition(n, *keys)).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

@@ -230,20 +230,26 @@ def q49_frame_face_schedule(spark, sf_dir):
     return schedule.frame_face_schedule(f, 10).drop("closes")
 
 
-def embedded(spark, sf_dir):
-    """Observations with the embedding whose rank is a third of their number, modulo the count of embeddings; all are kept."""
+def referred(spark, sf_dir):
+    """Observations with the rank (ref) of an embedding, a third of their number modulo the count of embeddings; and the embeddings by rank."""
     e = table(spark, sf_dir, "embeddings").where("vec_id is not null")
-    ranks = numbered(e, "vec_id", "rank")
+    ranks = numbered(e, "vec_id", "ref")
     n = F.lit(ranks.count())
-    e = e.join(ranks, "vec_id").select("rank", "embedding")
-    rank = F.when(n > 0, F.pmod(F.floor(F.col("obs_ord") / 3), n))
-    return observations(spark, sf_dir).withColumn("rank", rank).join(e, "rank", "left")
+    ref = F.when(n > 0, F.pmod(F.floor(F.col("obs_ord") / 3), n))
+    return observations(spark, sf_dir).withColumn("ref", ref), e.join(ranks, "vec_id").select("ref", "embedding")
+
+
+def embedded(spark, sf_dir):
+    """Observations with their embeddings; all are kept."""
+    o, vectors = referred(spark, sf_dir)
+    return o.join(vectors, "ref", "left")
 
 
 @query()
 def q50_identities(spark, sf_dir):
     """Tracks with local and global ids; the vectors of observations come from the embeddings table by rank, over the whole table."""
-    return pipelines.resolve_identities(embedded(spark, sf_dir), local=0.4, overall=0.5).select("shot_id", "track_id", "local_id", "global_id")
+    o, vectors = referred(spark, sf_dir)
+    return pipelines.resolve_identities(o, local=0.4, overall=0.5, vectors=vectors).select("shot_id", "track_id", "local_id", "global_id")
 
 
 @query(f"""WITH {OBSERVATIONS} SELECT obs_ord, x1 + 60 AS x, y1 + 10 AS y FROM obs""")

@@ -129,3 +129,26 @@ def test_mean_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, None), (2, None)], "k int, v array<float>")
     assert {r["k"]: r["mean"] for r in mean_vectors(df, ["k"], "v").collect()} == {1: [0.5, 0.5], 2: None}
     assert df.where(F.col("k") == 3).count() == 0
+
+
+def test_components_by_blocks(spark, monkeypatch):
+    """Blocks of few vectors, known links, a large component and none: the components of all pairs."""
+    rng = np.random.default_rng(21)
+    monkeypatch.setattr(identity, "BLOCK", 30)
+    monkeypatch.setattr(identity, "QUERIES", 8 * 8 * 25)
+    chain = np.linspace(0, 1.5, 140)  # neighbours are alike, the ends aren't
+    vectors = [np.r_[np.cos(x), np.sin(x), np.zeros(6)] for x in chain] + list(np.eye(8)[2:]) + [np.array(v) for v in clustered(rng, 60, 8, 0.1)] + [np.zeros(8)]
+    order = rng.permutation(len(vectors))
+    m = np.array(vectors)[order]
+    unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+    alike = unit @ unit.T >= 0.99
+    label = list(range(len(m)))
+    for i, j in zip(*np.nonzero(alike)):
+        a, b = sorted((label[i], label[j]))
+        label = [a if x == b else x for x in label]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, v array<double>")
+    known = [(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(alike, 1)))]
+    for links in (None, known[::2], [(i, j) for i, j in known if label[i] != label[int(np.flatnonzero(order == 0)[0])]]):
+        given = links and spark.createDataFrame(links, "u long, v long")
+        got = {r["node"]: r["root"] for r in identity.components(df, 0.99, links=given).collect()}
+        assert got == dict(enumerate(label)) and max(label.count(x) for x in label) >= 140

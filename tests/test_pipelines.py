@@ -28,6 +28,33 @@ def test_identities(spark):
     assert got == {(1, 0): (0, 0), (1, 1): (1, 1), (1, 2): (0, 0), (2, 0): (0, 1), (2, 1): (1, 2)}
 
 
+def test_identities_by_reference(spark, monkeypatch):
+    """Vectors apart from the observations give the same ids, held by the workers or not: repeated, null, zero and unknown ones."""
+    vectors = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.9, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [-1.0, 0.0]), (6, [-0.5, 0.1])]
+    rows = [(s, f, 100 * s + 10 * f + k, 300 * k, 0, 300 * k + 50, 50, (s * 7 + f * 3 + k * (f // 2)) % 9) for s in range(12) for f in range(9) for k in range(3) if (s + f * k) % 4]
+    o = spark.createDataFrame([r[:7] + (r[7] if r[7] < 8 else None,) for r in rows], "shot_id long, frame_idx int, obs_ord long, x1 int, y1 int, x2 int, y2 int, ref long")
+    v = spark.createDataFrame(vectors, "ref long, embedding array<double>")
+    found = lambda **more: sorted(tuple(r) for r in pipelines.resolve_identities(**more).select("shot_id", "track_id", "local_id", "global_id").collect())
+    want = found(observations=o.join(v, "ref", "left"))
+    assert found(observations=o, vectors=v) == want and len({r[3] for r in want}) > 3
+    monkeypatch.setattr(pipelines.identity, "HELD", 8)
+    assert found(observations=o, vectors=v) == want
+
+
+def test_identities_move_no_vectors(spark):
+    """What q50 shuffles is a few numbers for each observation, not components of vectors, nor copies of them."""
+
+    def moved():
+        sc = spark.sparkContext
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = moved()
+    n = more_queries.q50_identities(spark, SF).count()
+    assert n > 500 and moved() - before < 600 * fixtures.observations(spark, SF).count()
+
+
 def test_shot_features_and_validation(spark):
     f = spark.createDataFrame([(1, i, 0.0 if i < 4 else 99.0) for i in range(9)], "v int, i int, x double")
     faces = spark.createDataFrame([(1, 1, 0, 10, 10, 30, 50)], "v int, frame_idx int, face_ord int, x1 int, y1 int, x2 int, y2 int")
